@@ -97,16 +97,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
 
 
 class WordCache(dict):
-    """word -> compute(word), of bounded size: emptied when `most` words are held."""
+    """word -> compute(word), of bounded size: what was not asked for since the last `most` new words goes."""
 
-    def __init__(self, compute, most: int = 300_000):
+    def __init__(self, compute, most: int = 400_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, word):
+        out = self.old.get(word)
+        if out is None:
+            out = self.compute(word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[word] = out = self.compute(word)
+        self[word] = out
         return out
 
 
