@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import mixing, packing, quality, secrets, simhash, urls
+from tidemill.llm import mixing, packing, quality, secrets, simhash, toxicity, urls
 from tidemill.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), given)
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -50,5 +54,5 @@ def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op4_ngram_likelihood_quality, op5_simhash_gray_index, op6_boosted_url_filter, op9_pfair_mixing, op10_assignment_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op4_ngram_likelihood_quality, op5_simhash_gray_index, op6_boosted_url_filter, op7_weak_toxicity, op9_pfair_mixing, op10_assignment_secrets)}
 ORACLE_SQL: dict[str, str] = {}
