@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, katz, mixing, packing, quality, secrets, simhash, toxicity, urls
+from tidemill.llm import chat, katz, media, mixing, packing, quality, secrets, simhash, toxicity, urls
 from tidemill.llm.common import table
 
 
@@ -55,6 +55,10 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op3_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_likelihood_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,5 +96,5 @@ def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_preference_chat, op4_ngram_likelihood_quality, op5_simhash_gray_index, op6_boosted_url_filter, op7_weak_toxicity, op8_katz_backoff, op9_pfair_mixing, op10_assignment_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_preference_chat, op3_chunked_media, op4_ngram_likelihood_quality, op5_simhash_gray_index, op6_boosted_url_filter, op7_weak_toxicity, op8_katz_backoff, op9_pfair_mixing, op10_assignment_secrets)}
 ORACLE_SQL: dict[str, str] = {"op2_preference_chat": OP2_SQL}
