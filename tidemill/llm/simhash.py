@@ -3,7 +3,8 @@
 Distribution: with d differing bits allowed and the 64 bits cut into d + 4 blocks, two linked
 fingerprints agree in at least four whole blocks. Every choice of four blocks makes a key, and
 fingerprints of one key meet in one group. At most 2^(64 - four blocks) distinct fingerprints, a
-constant, share a key, whatever the documents are; copies were merged before.
+constant, share a key, whatever the documents are; copies were merged before. (For wide searches
+the number of equal blocks can be less: fewer keys, larger groups.)
 
 Search in a group: the fingerprints sorted by Gray rank form the leaves of a tree. Neighbours in
 Gray order differ in few bits, so a node can hold the bits (mask and value) that all leaves below
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import map_batches, materialize, texts
@@ -30,27 +31,37 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
 SEED = 42
 FAN = 16
+#: Whole blocks that linked fingerprints share, and by which they meet.
+EQUAL_BLOCKS = 4
 #: Pairs of a query and a node that are held at a time.
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space cuts
+def shingle_hashes(found: list[bytes], n: int) -> np.ndarray:
+    """XXH64 of each run of n words, repeats included; of all words if there are fewer."""
     if not found:
-        return 0
-    if len(found) <= shingle_words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-        ones = np.zeros(64, np.int64)
-    else:
-        hashes, ones = [], np.zeros(64, np.int64)
-    digest, n = xxhash.xxh64_intdigest, max(1, len(found) - shingle_words + 1)
-    for at in range(0, n, 1 << 16):
-        if len(found) > shingle_words:
-            part = found[at : at + (1 << 16) + shingle_words - 1]
-            hashes = [digest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(shingle_words)))]  # noqa: B905
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.zeros(0, np.uint64)
+    if len(found) <= n:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(b" ".join(x), SEED) for x in zip(*(found[i:] for i in range(n)))), np.uint64, len(found) - n + 1)  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that more than half of the hashes have; blocks bound the memory."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def words(text: str) -> list[bytes]:
+    return text.encode().lower().split()  # bytes: only A-Z change, only ASCII space cuts
+
+
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(words(text), shingle_words))
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -133,18 +144,18 @@ class GrayIndex:
         return out
 
 
-def block_masks(most: int) -> list[int]:
-    """Masks of every choice of four of most + 4 blocks, as signed longs."""
-    n = most + 4
+def block_masks(most: int, equal: int = EQUAL_BLOCKS) -> list[int]:
+    """Masks of every choice of `equal` of most + equal blocks, as signed longs."""
+    n = most + equal
     edges = [64 * i // n for i in range(n + 1)]
     blocks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
-    masks = [sum(c) for c in combinations(blocks, 4)]
+    masks = [sum(c) for c in combinations(blocks, equal)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def group_links(distinct: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
+def group_links(distinct: DataFrame, most: int = MAX_DISTANCE, equal: int = EQUAL_BLOCKS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join what lies within `most` bits, one star for each group."""
-    masks = block_masks(most)
+    masks = block_masks(most, equal)
     mask = np.array(masks, np.int64).view(np.uint64)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("c", "m")).select("c", (F.col("fp").bitwiseAND(F.col("m"))).alias("key"), "fp")
 
@@ -208,3 +219,65 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dis
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     member = member.join(least, "root").select("fp", "component_id")
     return made.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Settings of distinct_documents: shingles and similarity of what counts as near, and how candidates are found.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+NEAR_DISTANCE, NEAR_BLOCKS = 10, 2
+SKETCH = 128
+ROUNDS = 6
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, _th (hash of the text), fp of SHINGLE_WORDS shingles, and sketch: the least SKETCH hashes of NEAR_WORDS shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, least = [], []
+            for text in texts(batch):
+                found = words(text)
+                fps.append(majority(shingle_hashes(found, SHINGLE_WORDS)))
+                least.append(np.unique(shingle_hashes(found, NEAR_WORDS) >> np.uint64(1))[:SKETCH].astype(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_th", "fp", "sketch"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), "text"), run, "doc_id long, _th long, fp long, sketch array<long>")
+
+
+def similarity(a: str, b: str) -> Column:
+    """Jaccard similarity of two sketched sets: the share of the least SKETCH hashes of the union that both have. Exact up to SKETCH hashes."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.greatest(F.size(union), F.lit(1))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, any others) without near copies: of each group one stays.
+
+    Fingerprints within NEAR_DISTANCE bits make candidate groups. In a group the smallest doc_id leads; those
+    whose five-word shingles are similar to the leader's by SIMILARITY or more go, the leader stays,
+    and the others form a group again, ROUNDS times at most; who is left then stays. Rows that agree in id
+    and text are one document; null ids come last in a group; texts without words are copies of each
+    other; an empty table stays empty.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_th", "sketch")
+    made = materialize(sketches(docs).dropDuplicates(["doc_id", "_th"]), "near-sketches")
+    found = components(group_links(made.select("fp").distinct(), NEAR_DISTANCE, NEAR_BLOCKS)).withColumnRenamed("node", "fp")
+    active = made.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp")
+    sizes = active.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    active = materialize(active.join(sizes.select("root"), "root", "left_semi"), "near-groups")
+    gone = []
+    for _ in range(ROUNDS):
+        lead = active.groupBy("root").agg(F.min(order).alias("lead"))
+        judged = active.join(lead, "root").withColumn("leads", order == F.col("lead"))
+        judged = materialize(judged.filter("NOT leads").withColumn("copy", similarity("sketch", "lead.sketch") >= SIMILARITY).drop("lead", "leads"), "near-round")
+        gone.append(judged.filter("copy").select("doc_id", "_th"))
+        active = judged.filter("NOT copy").drop("copy")
+        if active.isEmpty():
+            break
+    dropped = gone[0]
+    for more in gone[1:]:
+        dropped = dropped.union(more)
+    kept = docs.withColumn("_th", F.xxhash64("text"))
+    dropped = dropped.select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th"))
+    kept = kept.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_gone_th")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
