@@ -18,9 +18,11 @@ def ranged(df: DataFrame, value: Column, weight: Column | None = None, descendin
     """df with _v, the value to order by, _range, _before (rows in the ranges before), _total, and _sum_before, _sum_total of weight."""
     df = df.withColumn("_v", -value.cast("double") if descending else value.cast("double"))
     steps = [i / parts for i in range(1, parts)]
-    limits = df.agg(F.percentile_approx("_v", steps, 1000)).scalar()
+    # In single precision: a sum that comes out another way in its last bits is still in the same range.
+    rough = F.col("_v").cast("float").cast("double")
+    limits = df.agg(F.percentile_approx(rough, steps, 1000)).scalar()
     df = df.withColumn("_limits", F.coalesce(limits, F.array().cast("array<double>")))
-    df = df.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_limits", lambda x: x < F.col("_v"))))).drop("_limits")
+    df = df.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_limits", lambda x: x < rough)))).drop("_limits")
     weight = F.lit(0.0) if weight is None else weight.cast("double")
     sizes = df.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(weight).alias("_s"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most parts + 1 rows
