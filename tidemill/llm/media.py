@@ -22,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_batches, materialize, texts
+from tidemill.llm.common import map_batches, materialize, release, texts
 
 UNIT = 576
 PAD = 255
 RATE = 8000
-LEAST, MOST, BITS = 256, 8192, 10
+LEAST, MOST, BITS = 512, 16384, 11
 #: Bits of the set of shared digests (8 MB).
 SHARED_BITS = 1 << 26
 #: A number for each byte value, by rule.
@@ -84,6 +85,11 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return [(hashlib.blake2b(part, digest_size=16).digest(), part) for a, b in zip([0, *ends[:-1]], ends, strict=True) if (part := data[a:b])]
 
 
+def squeeze(part: bytes) -> bytes:
+    """A chunk as it travels to the media that share it."""
+    return zstandard.ZstdCompressor(level=9).compress(part)
+
+
 def bit_of(digest: bytes) -> int:
     return int.from_bytes(digest[:4], "little") % SHARED_BITS
 
@@ -160,7 +166,7 @@ def store(docs: DataFrame, shared: bytes) -> DataFrame:
                         done.add(key)
                     for d, part in parts:
                         if d not in done:
-                            rows.append((d, None, None, None, None, part))
+                            rows.append((d, None, None, None, None, squeeze(part)))
                             done.add(d)
                     if len(done) > 1_000_000:
                         done.clear()
@@ -188,7 +194,8 @@ def read_back(stored: DataFrame) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield as_batch([describe(batch.column(0)[i].as_py(), b"".join(batch.column(1)[i].as_py())) for i in range(batch.num_rows)], FEATURES)
+            whole = (b"".join(map(zstandard.decompress, batch.column(1)[i].as_py())) for i in range(batch.num_rows))
+            yield as_batch([describe(batch.column(0)[i].as_py(), media) for i, media in enumerate(whole)], FEATURES)
 
     schema = "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
     alone = map_batches(stored.filter("place IS NOT NULL").select("media_sha256", "place", "sizes", "bytes"), own, schema)
@@ -209,5 +216,6 @@ def media_features(docs: DataFrame) -> DataFrame:
     """
     listed = materialize(listing(docs), "media-listing")
     shared = shared_set(listed.select("media_sha256", "digests"))
-    stored = materialize(store(docs, shared), "media-store", compression="zstd")
+    stored = materialize(store(docs, shared), "media-store", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"})
+    release(docs.sparkSession)
     return listed.select("doc_id", "n_bytes", "media_sha256").join(read_back(stored), "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
