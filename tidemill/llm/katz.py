@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fold, map_batches, materialize, ship, texts
+from tidemill.llm.common import fold, map_batches, materialize, release, ship, texts
 
 K = 5
 #: Tokens in a block of documents, and about as many as a bucket gets.
-BLOCK_TOKENS = 3_000_000
-BUCKET_TOKENS = 3_000_000
-LEAST_BUCKETS = 64
+BLOCK_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_500_000
+LEAST_BUCKETS = 128
 #: The most frequent words, known to all tasks: their numbers stand for them in blocks.
 FREQUENT = 1 << 16
 NULL_ID = -(1 << 63)
@@ -52,6 +52,12 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def coarse(x: np.ndarray) -> tuple[float, np.ndarray]:
+    """A scale and x in 32-bit steps of it: 2^-30 of the greatest of a blob's sums, under a millionth where they are under 1000."""
+    scale = 2.0 ** (30 - math.ceil(math.log2(max(float(np.abs(x).max(initial=0.0)), 1e-9))))
+    return scale, np.rint(x * scale).astype(np.int32)
+
+
 def packed(*parts: Any) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
 
@@ -89,7 +95,7 @@ def token_counts(docs: DataFrame, train: Column) -> DataFrame:
             for text in texts(batch):
                 seen.update(text.encode().lower().split())
                 ends += 1
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield out()
                     seen.clear()
         if ends:
@@ -123,21 +129,27 @@ def occurrences(docs: DataFrame, train: Column, frequent: np.ndarray, split: np.
     def deal(block: int, numbers: Numbers, rows: list[np.ndarray], ids: list[int], flags: list[bool]) -> Iterator[tuple[int, int, bytes]]:
         hashes, n_docs = np.array(numbers.hashes, np.uint64), len(ids)
         v = len(hashes)
-        sizes = np.array([len(r) + 1 for r in rows])
-        end, start = np.zeros(1, np.int64), np.ones(1, np.int64)
-        w = np.concatenate([x for r in rows for x in (r, end)])
-        h = np.concatenate([x for r in rows for x in (start, r)])
-        key = (w * v + h) * n_docs + np.repeat(np.arange(n_docs), sizes)
+        end, start = np.zeros(1, np.int32), np.ones(1, np.int32)
+        key = np.concatenate([x for r in rows for x in (r, end)]).astype(np.int64)
+        key *= v
+        key += np.concatenate([x for r in rows for x in (start, r)])
+        key *= n_docs
+        key += np.repeat(np.arange(n_docs, dtype=np.int32), [len(r) + 1 for r in rows])
+        rows.clear()
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count, key = np.diff(np.append(first, len(key))), key[first]
-        doc, key = key % n_docs, key // n_docs
-        w, h = key // v, key % v
-        to = (hashes % np.uint64(buckets)).astype(np.int64)[w]
+        count, key = np.diff(np.append(first, len(key))).astype(np.int32), key[first]
+        del first
+        doc = (key % n_docs).astype(np.int32)
+        key //= n_docs
+        h, w = (key % v).astype(np.int32), (key // v).astype(np.int32)
+        del key
+        to = (hashes % np.uint64(buckets)).astype(np.int32)[w]
         spread = np.isin(hashes, split)[w]
-        to[spread] = ((hashes[w[spread]] ^ (hashes[h[spread]] * MIX)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+        to[spread] = ((hashes[w[spread]] ^ (hashes[h[spread]] * MIX)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to.astype(np.uint16) if buckets <= 1 << 16 else to, kind="stable").astype(np.int32)
         to, w, h, doc, count = to[order], w[order], h[order], doc[order], count[order]
+        del order, spread
         at = np.searchsorted(frequent, hashes)
         known = np.minimum(at, max(0, len(frequent) - 1))
         is_frequent = frequent[known] == hashes if len(frequent) else np.zeros(v, bool)
@@ -167,7 +179,7 @@ def occurrences(docs: DataFrame, train: Column, frequent: np.ndarray, split: np.
         for batch in batches:
             for doc_id, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
                 found = text.encode().lower().split()
-                rows.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                rows.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 flags.append(flag)
                 held += len(found) + 1
@@ -201,48 +213,54 @@ def bucket_sums(dealt: DataFrame, frequent: np.ndarray, frequent_c: np.ndarray,
             names = np.concatenate([frequent, rare])[own]
             back = np.zeros(int(own[-1]) + 1, np.int64)
             back[own] = np.arange(len(own))
-            w_at.append(np.repeat(np.arange(len(w)), runs) + sum(map(len, ws)))
-            h_at.append(back[number] + sum(map(len, hs)))
+            w_at.append((np.repeat(np.arange(len(w)), runs) + sum(map(len, ws))).astype(np.int32))
+            h_at.append((back[number] + sum(map(len, hs))).astype(np.int32))
             ws.append(w)
             hs.append(names)
-            docs.append(doc.astype(np.int64))
-            counts.append(count.astype(np.int64))
+            docs.append(doc.astype(np.int32))
+            counts.append(count.astype(np.int32))
             trains.append(np.unpackbits(bits)[doc].astype(bool))
-            which.append(np.full(len(doc), len(blocks)))
+            which.append(np.full(len(doc), len(blocks), np.int32))
             blocks.append(block)
         if blocks:
             w_name, w_no = np.unique(np.concatenate(ws), return_inverse=True)
             h_name, h_no = np.unique(np.concatenate(hs), return_inverse=True)
-            w, h = w_no[np.concatenate(w_at)], h_no[np.concatenate(h_at)]
+            w, h = w_no.astype(np.int32)[np.concatenate(w_at)], h_no.astype(np.int32)[np.concatenate(h_at)]
             doc, count, train, at = (np.concatenate(x) for x in (docs, counts, trains, which))
-            del ws, hs, w_at, h_at, docs, counts, trains, which
+            del ws, hs, w_at, h_at, docs, counts, trains, which, w_no, h_no
             c = np.bincount(w, count * train, len(w_name)).astype(np.int64)
             if len(frequent):
                 place = np.minimum(np.searchsorted(frequent, w_name), len(frequent) - 1)
                 c = np.where((frequent[place] == w_name) & np.isin(w_name, split), frequent_c[place], c)
             p = np.where(c > 0, np.where(c <= K, d1[np.minimum(c, K)], 1.0) * c / (n_train + 1), unknown)
-            pair, pair_no = np.unique(w * len(h_name) + h, return_inverse=True)
-            r = np.bincount(pair_no, count * train, len(pair)).astype(np.int64)
+            pair, pair_no = np.unique(w.astype(np.int64) * len(h_name) + h, return_inverse=True)
+            pair_no = pair_no.astype(np.int32)
+            r = np.bincount(pair_no, count * train, len(pair)).astype(np.int32)
+            del train
             # Parts of histories.
             seen = r > 0
             pw, ph, pr = pair[seen] // len(h_name), pair[seen] % len(h_name), r[seen]
             by_count = np.bincount(np.minimum(pr, K + 2), minlength=K + 3)
             out.append((0, 0, packed(by_count)))
             parts = np.stack([np.bincount(ph, pr == j, len(h_name)) for j in range(1, K + 1)] + [np.bincount(ph, np.where(pr > K, pr, 0), len(h_name)), np.bincount(ph, p[pw], len(h_name))])
+            del pair, seen, pw, ph, pr
             # Sums of documents.
             r, base, log_p, log_c = r[pair_no], (np.log10(c + 0.1) - least), np.log10(p), np.log10(c + 1.0)
             is_end = w_name == np.uint64(END)
             score = count * (np.where(r > 0, np.log10(np.maximum(r, 1)), log_p[w]) - np.where(is_end, 0.0, log_c)[w])
+            del pair_no
             top = int(doc.max()) + 1
-            slot, slot_no = np.unique(at * top + doc, return_inverse=True)
+            slot, slot_no = np.unique(at.astype(np.int64) * top + doc, return_inverse=True)
+            slot_no = slot_no.astype(np.int32)
             total = lambda x: np.bincount(slot_no, x, len(slot))
             sums = [total(count), total(count * (c > 0)[w]), total(count * is_end[w]), *(total(count * (r == j)) for j in range(1, K + 1)), total(count * base[w]), total(score)]
             lost = np.flatnonzero(r == 0)
-            missing = np.stack([h[lost], at[lost], doc[lost], count[lost]])
+            missing = np.stack([h[lost], at[lost], doc[lost], count[lost]]).astype(np.int64)
+            del w, h, doc, count, at, r, score, slot_no
             edges = np.searchsorted(slot // top, np.arange(len(blocks) + 1))
             for i, block in enumerate(blocks):
                 a, b = edges[i], edges[i + 1]
-                out.append((1, block, packed(small(slot[a:b] % top), *(small(x[a:b].astype(np.int64)) for x in sums[:-2]), sums[-2][a:b], sums[-1][a:b])))
+                out.append((1, block, packed(small(slot[a:b] % top), *(small(x[a:b].astype(np.int64)) for x in sums[:-2]), coarse(sums[-2][a:b]), coarse(sums[-1][a:b]))))
             # Histories by their bucket.
             to = (h_name % np.uint64(buckets)).astype(np.int64)
             wanted = np.zeros(len(h_name), bool)
@@ -311,8 +329,8 @@ def document_scores(parts: DataFrame, d2: np.ndarray, starts: int) -> DataFrame:
                 doc, n, k, _, *by, b, s = unpacked(blob)
                 tokens[doc] += n.astype(np.int64)
                 known[doc] += k.astype(np.int64)
-                base[doc] += b
-                score[doc] += s + sum(x * math.log10(d2[j]) for j, x in enumerate(by, 1))
+                base[doc] += b[1] / b[0]
+                score[doc] += s[1] / s[0] + sum(x * math.log10(d2[j]) for j, x in enumerate(by, 1))
             elif kind == 4:
                 doc, gain = unpacked(blob)
                 score[doc] += gain
@@ -347,6 +365,8 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     buckets = max(LEAST_BUCKETS, int(n / (1 - 1 / held_out_fold)) // BUCKET_TOKENS)
     dealt = occurrences(docs, train.alias("train"), frequent, split, buckets)
     made = materialize(bucket_sums(dealt, frequent, frequent_c, split, (n, v, d1, unknown), buckets), "katz-buckets")
+    del dealt
+    release(spark)  # the occurrences are not needed any more
     by_count = [unpacked(bytes(r["blob"]))[0] for r in made.filter("kind = 0").select("blob").collect()]  # one small row for each bucket
     total = np.sum(by_count, axis=0) if by_count else np.zeros(K + 3)
     d2 = discounts({r: int(total[r]) for r in range(1, K + 2)})
