@@ -147,7 +147,8 @@ class TableStore:
         n = max(1, -(-self.describe(table)["bytes"] // (target_mb << 20)))
         if z_order:
             cuts = [df.agg(F.percentile_approx(F.col(c).cast("double"), [i / 64 for i in range(1, 64)])).scalar() for c in z_order]
-            ranks = [F.size(F.filter(q, lambda x, c=c: x < F.col(c).cast("double"))) for c, q in ((c, F.col(f"_q{i}")) for i, c in enumerate(z_order))]
+            rank = lambda i, c: F.size(F.filter(f"_q{i}", lambda x: x < F.col(c).cast("double")))
+            ranks = [rank(i, c) for i, c in enumerate(z_order)]
             made = df.withColumns({f"_q{i}": q for i, q in enumerate(cuts)}).withColumn("_z", z_value(ranks, 6))
             df = made.repartitionByRange(n, "_z").sortWithinPartitions("_z").select(*df.columns)
         else:
