@@ -39,20 +39,43 @@ def ranged(df: DataFrame, value: Column, weight: Column | None = None, descendin
 HELPERS = ("_v", "_range", "_before", "_total", "_sum_before", "_sum_total")
 
 
+def below(value: Column):
+    """The test for limits below a value."""
+    return lambda limit: limit < value
+
+
 def with_row_number(df: DataFrame, name: str, value: Column, tie: str, descending: bool = False) -> DataFrame:
     """name: 1, 2, ... in the order of (value, tie), nulls first; tie should be unique."""
     made = ranged(df, value, descending=descending)
     return made.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy("_v", tie)) + F.col("_before")).drop(*HELPERS)
 
 
-def with_ntile(df: DataFrame, name: str, tiles: int, value: Column, tie: str, descending: bool = False) -> DataFrame:
-    """name: the tile, as ntile(tiles) over the order of (value, tie)."""
-    made = ranged(df, value, descending=descending)
-    at = F.row_number().over(W.partitionBy("_range").orderBy("_v", tie)) + F.col("_before")
-    made = made.withColumn("_at", at - 1).withColumns({"_q": F.floor(F.col("_total") / tiles), "_r": F.col("_total") % tiles})
-    long = F.col("_r") * (F.col("_q") + 1)
-    tile = F.when(F.col("_at") < long, F.floor(F.col("_at") / (F.col("_q") + 1))).otherwise(F.col("_r") + F.floor(F.try_divide(F.col("_at") - long, F.col("_q"))))
-    return made.withColumn(name, (tile + 1).cast("int")).drop(*HELPERS, "_at", "_q", "_r")
+def with_ntiles(df: DataFrame, tiles: int, tie: str, values: dict[str, tuple[Column, bool]], parts: int = PARTS) -> DataFrame:
+    """Several columns of tiles, name: (value, descending), as ntile(tiles) over the order of (value, tie).
+
+    The limits of all columns are one aggregate and the sizes of all ranges another, so df is
+    read three times, however many columns there are.
+    """
+    names = list(values)
+    df = df.withColumns({f"_v{i}": -v.cast("double") if down else v.cast("double") for i, (v, down) in enumerate(values.values())})
+    rough = [F.col(f"_v{i}").cast("float").cast("double") for i in range(len(names))]
+    steps = [i / parts for i in range(1, parts)]
+    limits = df.agg(F.array(*[F.coalesce(F.percentile_approx(x, steps, 1000), F.array().cast("array<double>")) for x in rough])).scalar()
+    df = df.withColumn("_limits", limits)
+    for i, x in enumerate(rough):
+        df = df.withColumn(f"_r{i}", F.when(x.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.get("_limits", F.lit(i)), below(x)))))
+    df = df.drop("_limits")
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_r{i}").alias("r")) for i in range(len(names))])).alias("x")).groupBy("x.c", "x.r").agg(F.count("*").alias("n"))
+    upto = W.partitionBy("c").orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # at most parts + 1 rows a column
+    each = each.select("c", "r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("c")).alias("total"))
+    for i, name in enumerate(names):
+        sizes = each.filter(F.col("c") == i).select(F.col("r").alias(f"_r{i}"), F.col("before").alias("_before"), F.col("total").alias("_total"))
+        at = F.row_number().over(W.partitionBy(f"_r{i}").orderBy(f"_v{i}", tie)) + F.col("_before") - 1
+        df = df.join(F.broadcast(sizes), f"_r{i}").withColumns({"_at": at, "_q": F.floor(F.col("_total") / tiles), "_x": F.col("_total") % tiles})
+        long = F.col("_x") * (F.col("_q") + 1)
+        tile = F.when(F.col("_at") < long, F.floor(F.col("_at") / (F.col("_q") + 1))).otherwise(F.col("_x") + F.floor(F.try_divide(F.col("_at") - long, F.col("_q"))))
+        df = df.withColumn(name, (tile + 1).cast("int")).drop("_at", "_q", "_x", "_before", "_total", f"_v{i}", f"_r{i}")
+    return df
 
 
 def with_percent_rank(df: DataFrame, name: str, value: Column, descending: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.functions.ranking import with_ntile, with_percent_rank
+from tidemill.functions.ranking import with_ntiles, with_percent_rank
 from tidemill.functions.scalars import ratio
 
 # Scores of each segment, for five and for four tiles.
@@ -70,9 +70,8 @@ def scores(rfm: DataFrame, tiles: int = 5, orientation: str = "best_is_high") ->
     if orientation not in ("best_is_high", "best_is_low"):
         raise ValueError(f"not an orientation: {orientation!r}")
     high = orientation == "best_is_high"
-    made = with_ntile(rfm, "recency_score", tiles, F.col("recency_days"), "customer_id", descending=high)
-    made = with_ntile(made, "frequency_score", tiles, F.col("frequency"), "customer_id", descending=not high)
-    made = with_ntile(made, "monetary_score", tiles, F.col("monetary"), "customer_id", descending=not high)
+    values = {"recency_score": (F.col("recency_days"), high), "frequency_score": (F.col("frequency"), not high), "monetary_score": (F.col("monetary"), not high)}
+    made = with_ntiles(rfm, tiles, "customer_id", values)
     return made.withColumn("rfm_score", F.concat(*[F.col(f"{x}_score").cast("string") for x in ("recency", "frequency", "monetary")]))
 
 

@@ -172,10 +172,10 @@ def product_seasonal_performance(spark, sf):
 
 
 @query(f"""WITH {LINES}, s AS (SELECT product_id, sum(quantity) AS units_sold FROM lines GROUP BY 1), i AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_size * 20 END AS stock_quantity FROM part WHERE p_partkey % 13 > 0)
-  SELECT product_id, units_sold, stock_quantity, round(units_sold / nullif(stock_quantity, 0), 6) AS turnover, CASE WHEN stock_quantity IS NULL THEN 'Unknown' WHEN stock_quantity = 0 THEN 'Out of Stock' WHEN units_sold / stock_quantity > 5 THEN 'Fast Moving' WHEN units_sold / stock_quantity > 1 THEN 'Normal' ELSE 'Slow Moving' END AS stock_status FROM s LEFT JOIN i USING (product_id)""")
+  SELECT product_id, units_sold, stock_quantity, round(units_sold / nullif(stock_quantity, 0), 8) AS turnover, CASE WHEN stock_quantity IS NULL THEN 'Unknown' WHEN stock_quantity = 0 THEN 'Out of Stock' WHEN units_sold / stock_quantity > 5 THEN 'Fast Moving' WHEN units_sold / stock_quantity > 1 THEN 'Normal' ELSE 'Slow Moving' END AS stock_status FROM s LEFT JOIN i USING (product_id)""")
 def product_inventory_turnover(spark, sf):
     stock = table(spark, sf, "part").filter("p_partkey % 13 > 0").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_partkey") % 11 == 0, 0).otherwise(F.col("p_size") * 20).alias("stock_quantity"))
-    return rounded(product.inventory_turnover(lines(spark, sf), stock), "turnover", digits=6)
+    return rounded(product.inventory_turnover(lines(spark, sf), stock), "turnover", digits=8)
 
 
 INTER = f"{LINES}, x AS (SELECT customer_id, product_id, count(*) AS n, sum(quantity) AS quantity, least(5, greatest(1, ln(1 + count(*)) + ln(1 + sum(quantity)))) AS rating FROM lines GROUP BY 1, 2)"

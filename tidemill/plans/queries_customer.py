@@ -29,10 +29,10 @@ PROFILES = f"""{METRICS}, {scored_sql(5, True)}, p AS (SELECT *, {case(rfm.SEGME
     WHEN frequency_score >= 3 THEN 'Frequent but Dormant' ELSE 'Low Engagement' END AS engagement_level FROM s)"""
 
 
-@query(f"WITH {METRICS} SELECT customer_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(monetary, 2) AS monetary, first_purchase, last_purchase, round(avg_order_value, 4) AS avg_order_value FROM m")
+@query(f"WITH {METRICS} SELECT customer_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(monetary, 2) AS monetary, first_purchase, last_purchase, round(avg_order_value, 7) AS avg_order_value FROM m")
 def rfm_metrics(spark, sf):
     made = rfm.metrics(transactions(spark, sf), AS_OF)
-    return made.withColumns({"monetary": F.round("monetary", 2), "avg_order_value": F.round("avg_order_value", 4)})
+    return made.withColumns({"monetary": F.round("monetary", 2), "avg_order_value": F.round("avg_order_value", 7)})
 
 
 @query(f"WITH {METRICS}, {scored_sql(5, True)} SELECT customer_id, recency_score, frequency_score, monetary_score, rfm_score FROM s")
@@ -103,10 +103,10 @@ MONTHS = f"""(12 * (year(DATE '{AS_OF}') - year(first_purchase)) + month(DATE '{
 
 
 @query(f"""WITH {CLV}, f AS (SELECT *, {MONTHS} AS months FROM c) SELECT customer_id, CAST(date_diff('day', last_purchase, DATE '{AS_OF}') AS INTEGER) AS recency_days, round(months, 6) AS months_since_first_purchase,
-  round(CASE WHEN months > 0 THEN total_orders / months ELSE total_orders END, 4) AS purchase_velocity, CASE WHEN months <= 3 THEN 'New' WHEN months <= 12 THEN 'Growing' WHEN months <= 24 THEN 'Mature' ELSE 'Veteran' END AS customer_maturity FROM f""")
+  round(CASE WHEN months > 0 THEN total_orders / months ELSE total_orders END, 7) AS purchase_velocity, CASE WHEN months <= 3 THEN 'New' WHEN months <= 12 THEN 'Growing' WHEN months <= 24 THEN 'Mature' ELSE 'Veteran' END AS customer_maturity FROM f""")
 def clv_features(spark, sf):
     made = clv.features(clv.historical(transactions(spark, sf)), AS_OF)
-    return made.select("customer_id", "recency_days", F.round("months_since_first_purchase", 6).alias("months_since_first_purchase"), F.round("purchase_velocity", 4).alias("purchase_velocity"), "customer_maturity")
+    return made.select("customer_id", "recency_days", F.round("months_since_first_purchase", 6).alias("months_since_first_purchase"), F.round("purchase_velocity", 7).alias("purchase_velocity"), "customer_maturity")
 
 
 @query(f"WITH {CLV} SELECT count(*) AS customers, round(avg(historical_clv), 4) AS avg_clv, round(max(historical_clv), 4) AS max_clv, round(min(historical_clv), 4) AS min_clv, round(stddev(historical_clv), 4) AS stddev_clv, round(sum(historical_clv), 2) AS total_clv, round(sum(total_revenue), 2) AS total_revenue FROM c")

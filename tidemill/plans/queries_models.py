@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.operators import cases, clv, ml
 from tidemill.plans.bindings import AS_OF, TX, behavior, table, transactions
@@ -165,7 +164,7 @@ def lake_file_formats(spark, sf):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def lake_json_payloads(spark, sf):
     raw = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("key"), F.col("props").alias("value"))
-    return readers.parse(raw, T.StructType.fromDDL("k INT")).select(F.col("kafka_key").cast("long").alias("event_id"), "k")
+    return readers.parse(raw, readers.struct({"k": "int"})).select(F.col("kafka_key").cast("long").alias("event_id"), "k")
 
 
 def stored(spark, sf):

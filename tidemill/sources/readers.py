@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "timestamp": T.TimestampType()}
+
+
+def struct(columns: dict[str, str]) -> T.StructType:
+    """A schema by type names, without a session."""
+    return T.StructType([T.StructField(c, KINDS[k]) for c, k in columns.items()])
+
+
 # Payloads of the two main streams.
-TRANSACTION = T.StructType.fromDDL("transaction_id STRING, user_id STRING, product_id STRING, price DOUBLE, quantity INT, ts TIMESTAMP, user_location STRING, device_info STRING, payment_method STRING, currency STRING")
-BEHAVIOR = T.StructType.fromDDL("event_id STRING, user_id STRING, session_id STRING, event_type STRING, ts TIMESTAMP, page_url STRING, user_location STRING, device_info STRING, user_agent STRING, event_properties STRING")
+TRANSACTION = struct({"transaction_id": "string", "user_id": "string", "product_id": "string", "price": "double", "quantity": "int", "ts": "timestamp", "user_location": "string", "device_info": "string", "payment_method": "string", "currency": "string"})
+BEHAVIOR = struct({"event_id": "string", "user_id": "string", "session_id": "string", "event_type": "string", "ts": "timestamp", "page_url": "string", "user_location": "string", "device_info": "string", "user_agent": "string", "event_properties": "string"})
 # Partition columns of each type of data, and the column that dates come from.
 PARTITIONS = {
     "transactions": (("year", "month", "day"), "ts"), "user_events": (("year", "month", "day", "event_type"), "ts"), "product_updates": (("category", "year", "month"), "ts"),
