@@ -72,7 +72,7 @@ def discounts(seen: dict[int, int], k: int = K) -> np.ndarray:
     d = np.ones(k + 1)
     if not n[1]:
         return d
-    absolute = n[1] / (n[1] + 2 * n[2])
+    absolute = n[1] / (n[1] + 2 * max(n[2], 1.0))  # below one, so that what was seen keeps something
     tail = (k + 1) * n[k + 1] / n[1]
     for r in range(1, k + 1):
         turing = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else 0.0

@@ -153,8 +153,8 @@ def harmonic_pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY) -
     schema = T.StructType([*rest.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if rows.num_rows:
+        if full := [b for b in batches if b.num_rows]:
+            rows = pa.Table.from_batches(full)
             placed = first_fit(rows["length"].to_pylist(), capacity)
             base = rows["_bins"].to_pylist()
             rows = rows.append_column("sequence_id", pa.array([b + at for b, (at, _) in zip(base, placed, strict=True)], pa.int64()))

@@ -245,9 +245,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def similarity(a: str, b: str) -> Column:
-    """Jaccard similarity of two sketched sets: the share of the least SKETCH hashes of the union that both have. Exact up to SKETCH hashes."""
+    """Jaccard similarity of two sketched sets: the share of the least SKETCH hashes of the union that both have. Exact up to SKETCH hashes; two empty sets are equal."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.greatest(F.size(union), F.lit(1))
+    share = F.try_divide(F.size(F.array_intersect(F.array_intersect(a, b), union)).cast("double"), F.size(union).cast("double"))
+    return F.coalesce(share, F.lit(1.0))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
