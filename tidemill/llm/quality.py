@@ -60,13 +60,15 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def grams(found: Column, buckets: int) -> Column:
-    """The buckets of a text's grams of order one and two."""
-    ends = F.transform(found, lambda w: F.substring(w, -3, 3))
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    both = lambda e: F.concat(
-        F.transform(e, lambda a: bucket(a)),
-        F.filter(F.transform(e, lambda a, i: F.when(i + 1 < F.size(e), bucket(a, F.get(e, i + 1)))), lambda x: x.isNotNull()),
-    )
+    """The buckets of a text's grams of order one and two: hashes of word endings, and of each with the next one's shifted by a bit."""
+    bucket = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
+    ends = F.transform(found, lambda w: F.xxhash64(F.substring(w, -3, 3)))
+    pair = lambda a, b: bucket(a.bitwiseXOR(F.shiftleft(b, 1)))
+
+    def both(e: Column) -> Column:
+        n = F.greatest(F.size(e) - 1, F.lit(0))
+        return F.concat(F.transform(e, bucket), F.zip_with(F.slice(e, F.lit(1), n), F.slice(e, F.lit(2), n), pair))
+
     return let(ends, both)
 
 
