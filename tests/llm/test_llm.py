@@ -75,7 +75,7 @@ def test_packing_gives_ids(spark, tokenizer):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60) | st.lists(st.sampled_from(["J\u030c", "The,", "d\u00c9j\u00c0", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "x'll", "\u01f0", "10%", "caf\u00e9!!", "\u212a"]), max_size=8).map(" ".join))
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["J\u030c", "The,", "d\u00c9j\u00c0", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "x'll", "\u01f0", "10%", "caf\u00e9!!", "\u212a", "\u00c9L\u00c8VE,", "stra\u00dfe", "\u00d7\u00f7", "na\u00efve", "\u00de\u00fe\u00ff\u0178"]), max_size=8).map(" ".join))
 def test_word_cache_gives_the_tokenizers_ids(text):
     encode = packing.Encoder(TOKENIZER)
     assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids

@@ -46,8 +46,19 @@ def cut(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:
     return [*out, n] if n else out
 
 
-#: A word of letters and the punctuation after it: the vocabulary's patterns always part them there.
-ENDED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]+)")
+LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+#: A word of letters, perhaps with punctuation after it: the vocabulary's patterns always part them there.
+WORD = re.compile(LETTERS)
+ENDED = re.compile(b"(" + LETTERS + rb")([.,;:!?]+)")
+#: Second bytes of the letters from U+00C0 to U+00DE, and those of the same letters in lower case.
+LOWER = bytes(b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
+
+
+def byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it prints, else the next from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
 class Encoder:
@@ -62,12 +73,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letter = byte_letters().__getitem__
         self.cache = WordCache(self.word)
 
     def word(self, word: bytes) -> bytes:
         if parts := ENDED.fullmatch(word):
             return self.cache[parts[1]] + self.cache[parts[2]]
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        if WORD.fullmatch(word):  # one piece that normalization leaves as it is, but for the case
+            ids = [token.id for token in self.merge("".join(map(self.letter, word.translate(LOWER))))]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
