@@ -38,7 +38,7 @@ K = 5
 BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 1_500_000
 LEAST_BUCKETS = 128
-#: The most frequent words, known to all tasks: their numbers stand for them in blocks.
+#: At most so many of the most frequent words are known to all tasks: their numbers stand for them in blocks.
 FREQUENT = 1 << 16
 NULL_ID = -(1 << 63)
 END = xxhash.xxh64_intdigest(b"\x00end")
@@ -358,7 +358,11 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     seen = {r: stats[f"n{r}"] for r in range(1, K + 2)}
     d1 = discounts(seen)
     unknown = 1 - (sum(d1[r] * r * seen[r] for r in range(1, K + 1)) + (stats["often"] or 0)) / (n + 1)
-    top = unigrams.orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()  # at most FREQUENT rows
+    level = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r["level"], r["n"]) for r in unigrams.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 1024 levels
+    upto = np.cumsum([k for _, k in sizes])
+    levels = [at for (at, _), k in zip(sizes, upto, strict=True) if k <= FREQUENT]
+    top = unigrams.filter(level >= levels[-1] if levels else F.lit(False)).toPandas()  # at most FREQUENT rows
     order = np.argsort(top["token"].to_numpy(np.int64).view(np.uint64))
     frequent, frequent_c = top["token"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.int64)[order]
     split = frequent[frequent_c > n / 4096]
