@@ -9,7 +9,7 @@ from tidemill.plans.bindings import AS_OF, BEHAVIOR, LINES, behavior, lines
 from tidemill.plans.registry import query
 
 #: Order lines as card payments: an hour and a payment method from the keys.
-PAY = f"""{LINES}, pay AS (SELECT ((transaction_id * 10 + line) * 100000 + product_id) * 1000 + merchant_id AS transaction_id, customer_id, merchant_id, revenue AS price, ts + to_seconds(CAST((transaction_id * 7919 + line * 300) % 86400 AS INTEGER)) AS ts,
+PAY = f"""{LINES}, pay AS (SELECT (((transaction_id * 10 + line) * 100000 + product_id) * 1000 + merchant_id) * 100 + CAST(quantity AS BIGINT) AS transaction_id, customer_id, merchant_id, revenue AS price, ts + to_seconds(CAST((transaction_id * 7919 + line * 300) % 86400 AS INTEGER)) AS ts,
   list_extract(['credit_card', 'paypal', 'bank_transfer', 'digital_wallet', 'cash'], CAST((transaction_id + line) % 5 AS INTEGER) + 1) AS payment_method, 'place_' || CAST(merchant_id % 9 AS VARCHAR) AS location FROM lines)"""
 
 
@@ -17,7 +17,7 @@ def pay(spark, sf):
     df = lines(spark, sf)
     methods = F.array(*map(F.lit, ("credit_card", "paypal", "bank_transfer", "digital_wallet", "cash")))
     return df.select(
-        (((F.col("transaction_id") * 10 + F.col("line")) * 100000 + F.col("product_id")) * 1000 + F.col("merchant_id")).alias("transaction_id"), "customer_id", "merchant_id", F.col("revenue").alias("price"),
+        ((((F.col("transaction_id") * 10 + F.col("line")) * 100000 + F.col("product_id")) * 1000 + F.col("merchant_id")) * 100 + F.col("quantity").cast("long")).alias("transaction_id"), "customer_id", "merchant_id", F.col("revenue").alias("price"),
         F.timestamp_add("SECOND", ((F.col("transaction_id") * 7919 + F.col("line") * 300) % 86400).cast("int"), "ts").alias("ts"), F.get(methods, ((F.col("transaction_id") + F.col("line")) % 5).cast("int")).alias("payment_method"),
         F.concat(F.lit("place_"), (F.col("merchant_id") % 9).cast("string")).alias("location"),
     )
