@@ -80,7 +80,10 @@ def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and empty texts have none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " ", -1), "")
+    text = F.coalesce(text, F.lit(""))
+    rare = SPACES.replace("\n", "")
+    text = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, rare, " " * len(rare))).otherwise(text)
+    return F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1), "")
 
 
 def lower_ascii(text: Column) -> Column:

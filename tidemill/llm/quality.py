@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, let, materialize, words
+from tidemill.llm.common import let, materialize, words
 
 BUCKETS = 1 << 15
 PRIOR = 10_000.0
@@ -21,7 +21,7 @@ THRESHOLD = -0.5
 WINDOW = 8
 #: Trusted ids are broadcast; beyond this number those with the least hashes serve.
 MOST_TRUSTED = 500_000
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -47,12 +47,12 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
 def base_features(docs: DataFrame) -> DataFrame:
     """docs with the base counts and `_w`, the words; a null text counts as empty."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " " + SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.withColumn("_w", words(F.col("text"))).withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(text, " " + SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.concat_ws("", "_w")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
             "n_repeat_words": repeated_words(F.col("_w")),
         }
