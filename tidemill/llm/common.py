@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import sys
@@ -106,6 +108,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield x.as_py() or ""
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordCache(dict):
     """word -> compute(word), of bounded size: what was not asked for since the last `most` new words goes."""
 

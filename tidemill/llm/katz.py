@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fold, map_batches, materialize, release, ship, texts
+from tidemill.llm.common import fold, map_batches, materialize, release, ship, texts, trim
 
 K = 5
 #: Tokens in a block of documents, and about as many as a bucket gets.
@@ -186,8 +186,11 @@ def occurrences(docs: DataFrame, train: Column, frequent: np.ndarray, split: np.
                 if held >= BLOCK_TOKENS:
                     yield from out()
                     numbers, rows, ids, flags, held, made = Numbers(), [], [], [], 0, made + 1
+                    trim()
         if ids:
             yield from out()
+        numbers.clear()
+        trim()
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), train, "text"), run, "bucket int, block long, blob binary")
 
@@ -203,11 +206,12 @@ def bucket_sums(dealt: DataFrame, frequent: np.ndarray, frequent_c: np.ndarray,
     def run(found: pa.Table) -> pa.Table:
         out: list[tuple[int, int, bytes]] = []
         blocks, ws, hs, w_at, h_at, docs, counts, trains, which = [], [], [], [], [], [], [], [], []
-        for block, blob in zip(found["block"].to_pylist(), found["blob"].to_pylist(), strict=True):
+        trim()
+        for block, blob in zip(found["block"].to_pylist(), found["blob"], strict=True):
             if block < 0:
-                out.append((2, -1 - block, blob))
+                out.append((2, -1 - block, blob.as_py()))
                 continue
-            w, runs, rare, number, doc, count, bits = unpacked(blob)
+            w, runs, rare, number, doc, count, bits = unpacked(blob.as_py())
             number = number.astype(np.int64)
             own = np.flatnonzero(np.bincount(number, minlength=1))
             names = np.concatenate([frequent, rare])[own]
