@@ -293,6 +293,32 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(empty(spark)).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def plain_distinct(texts):
+    """The least number of each component of pairs at 0.8 or more, all pairs compared."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return sorted(set(root))
+
+
+def test_distinct_documents_with_many_families_in_one_group(spark):
+    shared = [f"shared{i}" for i in range(500)]
+    found = []
+    for family in range(12):  # 0.76 between families
+        own = [*shared, *(f"own{family}x{i}" for i in range(80))]
+        found += [" ".join(own), " ".join(own), " ".join([*own[:500], "changed", *own[501:]]), " ".join([*own[:550], "other", *own[551:]])]
+    got = simhash.distinct_documents(docs(spark, [(i, t, "en", "a") for i, t in enumerate(found)]))
+    assert sorted(r["doc_id"] for r in got.collect()) == plain_distinct(found) == list(range(0, 48, 4))
+
+
 # 6 URLs
 
 RULES = urls.rules(allow=("example.com/en/7", "net/de/"), block=("com/en/", "example.net/de/8", "org/es/"))

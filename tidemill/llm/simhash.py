@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import map_batches, materialize, texts
@@ -221,64 +221,139 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dis
     return made.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Settings of distinct_documents: shingles and similarity of what counts as near, and how candidates are found.
+#: Settings of distinct_documents: shingles and similarity of what counts as near.
 NEAR_WORDS, SIMILARITY = 5, 0.8
-NEAR_DISTANCE, NEAR_BLOCKS = 10, 2
-SKETCH = 128
-ROUNDS = 6
+#: Candidates share one of BANDS keys of BAND_ROWS least hashes: at similarity 0.8 all but (1 - 0.8^5)^25 = 5e-5 of the pairs do, above it fewer are missed.
+BANDS, BAND_ROWS = 25, 5
+#: Least hashes that two documents must share to be compared in full, when neither leads a key; at similarity 0.8, 100 are expected with a deviation of 4.5.
+LEAST_EQUAL = 75
+SHINGLE_BLOCK = 4096
+_MADE = np.random.default_rng(SEED)
+FACTORS = _MADE.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+TERMS = _MADE.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, _th (hash of the text), fp of SHINGLE_WORDS shingles, and sketch: the least SKETCH hashes of NEAR_WORDS shingles."""
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of NEAR_WORDS words in order, as signed longs."""
+    return np.unique(shingle_hashes(words(text), NEAR_WORDS) >> np.uint64(1)).astype(np.int64)
+
+
+def least_hashes(found: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS * BAND_ROWS hash functions over a set of hashes."""
+    out = np.full(len(FACTORS), 0xFFFFFFFF, np.uint32)
+    mixed = (found >> 31).astype(np.uint32)
+    for at in range(0, len(mixed), SHINGLE_BLOCK):
+        np.minimum(out, (mixed[None, at : at + SHINGLE_BLOCK] * FACTORS[:, None] + TERMS[:, None]).min(axis=1), out=out)
+    return out
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, _th (hash of the text), set (hash of the set of shingles), n (its size), sig (a byte of each least hash) and keys (one for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, least = [], []
+            sets, sizes, sigs, keys = [], [], [], []
             for text in texts(batch):
-                found = words(text)
-                fps.append(majority(shingle_hashes(found, SHINGLE_WORDS)))
-                least.append(np.unique(shingle_hashes(found, NEAR_WORDS) >> np.uint64(1))[:SKETCH].astype(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_th", "fp", "sketch"])
+                found = shingle_set(text)
+                least = least_hashes(found)
+                sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                sigs.append(least.astype(np.uint8).tobytes())
+                keys.append(np.array([xxhash.xxh64_intdigest(band.tobytes(), c) for c, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64))
+            made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "_th", "set", "n", "sig", "keys"])
+
+    made = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), "text")
+    return map_batches(made, run, "doc_id long, _th long, set long, n long, sig binary, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """set and shingles for each row of docs (set, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t) for t in texts(batch)], pa.list_(pa.int64()))], ["set", "shingles"])
+
+    return map_batches(docs.select("set", "text"), run, "set long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets (set, shingles) whose Jaccard similarity is SIMILARITY or more, by all shingles."""
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= SIMILARITY).select("a", "b")
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), "text"), run, "doc_id long, _th long, fp long, sketch array<long>")
 
+def unlinked_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, set, n, sig, root) of one key that have different roots and may be similar; the least set of a key, which was compared with all, is left out."""
 
-def similarity(a: str, b: str) -> Column:
-    """Jaccard similarity of two sketched sets: the share of the least SKETCH hashes of the union that both have. Exact up to SKETCH hashes; two empty sets are equal."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    share = F.try_divide(F.size(F.array_intersect(F.array_intersect(a, b), union)).cast("double"), F.size(union).cast("double"))
-    return F.coalesce(share, F.lit(1.0))
+    def of(sets: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(1, len(sets) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) * (1 - 1e-9)))
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_EQUAL]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), sets[i])), pa.array(sets[j])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, len(FACTORS))
+            yield from of(rows["set"].to_numpy(), rows["n"].to_numpy(), sig, rows["root"].to_numpy())
+
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                if to == at:
+                    continue
+                if held and held[0].column(0)[0].as_py() != key[at]:
+                    yield from out()
+                    held = []
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield from out()
+
+    dealt = members.select("key", "set", "n", "sig", "root").repartition("key").sortWithinPartitions("key", "set")
+    return map_batches(dealt, run, "a long, b long").distinct()
+
+
+def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """set and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, n, sig, keys).
+
+    Every set is compared in full with the least one of each of its keys, and then, where a key
+    still has sets that are not linked, so are those with each other.
+    """
+    members = sets.select("set", "n", "sig", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.min("set").alias("lead"), F.count("*").alias("_all")).filter("_all > 1").drop("_all")
+    members = materialize(members.join(shared, "key"), "near-members")
+    wanted = members.select("set").distinct().join(sets.select("set", "rep.doc_id", "rep._th"), "set")
+    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
+    text = text.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_th"))).select("set", "text").dropDuplicates(["set"])
+    shingles = materialize(shingle_sets(text), "near-shingles")
+    links = materialize(similar(members.filter("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b")).distinct(), shingles), "near-links")
+    found = members.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    found = materialize(found, "near-roots")
+    mixed = found.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
+    more = materialize(similar(unlinked_pairs(found.join(mixed, "key", "left_semi")), shingles), "near-links")
+    return components(links.union(more)).withColumnRenamed("node", "set")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, any others) without near copies: of each group one stays.
 
-    Fingerprints within NEAR_DISTANCE bits make candidate groups. In a group the smallest doc_id leads; those
-    whose five-word shingles are similar to the leader's by SIMILARITY or more go, the leader stays,
-    and the others form a group again, ROUNDS times at most; who is left then stays. Rows that agree in id
+    Two documents are near if the sets of their five-word shingles have a Jaccard similarity of SIMILARITY or
+    more, which is decided by all shingles; groups are what such links connect, of any size and number,
+    and the smallest doc_id stays. Documents with equal sets are merged first. Rows that agree in id
     and text are one document; null ids come last in a group; texts without words are copies of each
     other; an empty table stays empty.
     """
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_th", "sketch")
-    made = materialize(sketches(docs).dropDuplicates(["doc_id", "_th"]), "near-sketches")
-    found = components(group_links(made.select("fp").distinct(), NEAR_DISTANCE, NEAR_BLOCKS)).withColumnRenamed("node", "fp")
-    active = made.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp")
-    sizes = active.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    active = materialize(active.join(sizes.select("root"), "root", "left_semi"), "near-groups")
-    gone = []
-    for _ in range(ROUNDS):
-        lead = active.groupBy("root").agg(F.min(order).alias("lead"))
-        judged = active.join(lead, "root").withColumn("leads", order == F.col("lead"))
-        judged = materialize(judged.filter("NOT leads").withColumn("copy", similarity("sketch", "lead.sketch") >= SIMILARITY).drop("lead", "leads"), "near-round")
-        gone.append(judged.filter("copy").select("doc_id", "_th"))
-        active = judged.filter("NOT copy").drop("copy")
-        if active.isEmpty():
-            break
-    dropped = gone[0]
-    for more in gone[1:]:
-        dropped = dropped.union(more)
+    made = materialize(signatures(docs), "near-signatures")
+    rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_th")
+    sets = materialize(made.groupBy("set").agg(F.min(rep).alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("keys").alias("keys")), "near-sets")
+    member = sets.join(near_links(docs, sets), "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("rep").alias("rep"))
+    member = member.select(F.col("rep.doc_id").alias("_kept"), F.col("rep._th").alias("_kept_th"))
     kept = docs.withColumn("_th", F.xxhash64("text"))
-    dropped = dropped.select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th"))
-    kept = kept.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_gone_th")), "left_anti")
+    kept = kept.join(member, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
