@@ -319,6 +319,16 @@ def test_distinct_documents_with_many_families_in_one_group(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == plain_distinct(found) == list(range(0, 48, 4))
 
 
+def test_distinct_documents_decides_by_all_shingles(spark):
+    found = []
+    for i, other in enumerate(range(70, 131, 3)):  # similarities from 0.87 to 0.76
+        own = [f"text{i}x{j}" for j in range(1000)]
+        found += [" ".join(own), " ".join([*own[: 1000 - other], *(f"new{i}x{j}" for j in range(other))])]
+    got = simhash.distinct_documents(docs(spark, [(i, t, "en", "a") for i, t in enumerate(found)]))
+    assert sorted(r["doc_id"] for r in got.collect()) == plain_distinct(found)
+    assert 0 < sum(jaccard(*found[i : i + 2]) >= 0.8 for i in range(0, len(found), 2)) < len(found) // 2
+
+
 # 6 URLs
 
 RULES = urls.rules(allow=("example.com/en/7", "net/de/"), block=("com/en/", "example.net/de/8", "org/es/"))
