@@ -98,6 +98,34 @@ def test_harmonic_bins_have_a_fixed_count(spark):
     assert len(full) > 0.9 * len(bins)
 
 
+def test_sequences_follow_the_mixture(spark, sf_small):
+    import corpus_pipeline
+
+    order = [s for _ in range(400) for s in "aabc"]
+    at = {s: iter([i for i in range(len(order) * 3) if i % 3 == "abc".index(s)]) for s in "abc"}
+    rows = [(next(at[s]), " ".join(f"word{(i * 7 + j) % 50}" for j in range(20 + (i * 37) % 90)), "en", s) for i, s in enumerate(order)]
+    weights, source = {"a": 2.0, "b": 1.0, "c": 1.0}, {r[0]: r[3] for r in rows}
+    mixed = mixing.materialize(mixing.in_order(docs(spark, rows), weights=weights), "test")
+    mixed_at = {r["doc_id"]: r["position"] for r in mixing.mix(docs(spark, rows), weights=weights).collect()}
+    got = corpus_pipeline.sequence_packing(spark, mixed, sf_small).collect()
+    assert {r["doc_id"] for r in got} == set(source)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((mixed_at[r["doc_id"]], r["start"]))
+    assert sorted(bins) == list(range(len(bins)))
+    firsts = [min(bins[i]) for i in range(len(bins))]
+    assert firsts == sorted(firsts)
+    seen, pieces = set(), sorted(x for b in bins.values() for x in b)
+    by_place = {p: source[d] for d, p in mixed_at.items()}
+    for i in range(len(bins) - 1):  # all up to the next sequence's first piece
+        seen |= set(bins[i])
+        upto = [x for x in pieces if x < firsts[i + 1]]
+        assert seen.issuperset(upto)
+        n = Counter(by_place[p] for p in {p for p, _ in upto})
+        for s, share in (("a", 0.5), ("b", 0.25), ("c", 0.25)):
+            assert abs(n[s] - share * sum(n.values())) < 2 * mixing.BLOCK_DOCS
+
+
 # 2 chat
 
 

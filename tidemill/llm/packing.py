@@ -7,6 +7,10 @@ worker needs to know what another has put where. Documents are cut first, into p
 C/2, C/4, ... down to `least` tokens and one short rest, so that the bins of the large classes are
 full to the last token and those of rests to at least k/(k+1), k > C / least.
 
+Where the order of the documents counts, the shares are ranges of positions, so that a class fills its
+bins in that order, and all bins are numbered by the first piece in them: the sequences before any one hold every
+piece up to its first, and beyond that at most one open bin of each class.
+
 The last bin of a class may lack items. Those items (less than k of each class, so at most about
 C * ln C altogether whatever the input) are packed by first fit, longest first, in one small task.
 """
@@ -19,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,19 +99,21 @@ class Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens (and ids) for each piece of each document."""
+    """doc_id, start, length, ids_crc32, doc_tokens (and ids) for each piece of each document, and _pos where docs have it."""
+    placed = "_pos" in docs.columns
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = on_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            places = batch.column(2).to_pylist() if placed else [None] * batch.num_rows
+            for doc_id, text, at in zip(batch.column(0).to_pylist(), texts(batch), places, strict=True):
                 ids, start = encode(text) + end, 0
                 view = memoryview(ids)
                 for length in cut(len(ids) // 4, capacity, least):
                     part = view[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, length, zlib.crc32(part), len(ids) // 4) + ((part.cast("I").tolist(),) if with_ids else ()))
+                    rows.append((doc_id, start, length, zlib.crc32(part), len(ids) // 4) + ((at,) if placed else ()) + ((part.cast("I").tolist(),) if with_ids else ()))
                     start += length
                 if len(rows) >= 20_000 or with_ids and rows:
                     yield as_batch(rows)
@@ -114,13 +121,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, leas
             if rows:
                 yield as_batch(rows)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids
+    longs = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["_pos"] * placed
+    names = longs + ["ids"] * with_ids
+    kinds = [pa.int64()] * len(longs) + [pa.list_(pa.int64())] * with_ids
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return map_batches(docs.select("doc_id", "text"), run, ", ".join(f"{n} long" for n in names[:5]) + ", ids array<long>" * with_ids)
+    return map_batches(docs.select("doc_id", "text", *["_pos"] * placed), run, ", ".join(f"{n} long" for n in longs) + ", ids array<long>" * with_ids)
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -136,17 +144,33 @@ def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def harmonic_pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
+def positioned(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _pos, which ascends in the order of the written rows: by file name, then by row in the file."""
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not a table in files
+        return positioned(materialize(docs.select("doc_id", "text"), "packing-documents"))
+    files = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))  # one row for each file
+    before = F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1))
+    files = materialize(files.withColumn("_before", F.coalesce(before, F.lit(0))), "packing-files")
+    return rows.join(F.broadcast(files), "_file").select("doc_id", "text", (F.col("_before") + F.col("_row")).alias("_pos"))
+
+
+def harmonic_pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY, position: str | None = None) -> DataFrame:
     """items (a written table) with sequence_id and offset; `length` is 1 to capacity, keys order equal classes.
 
     Sequence ids are dense from 0. An empty table gives an empty one. Rows that agree in all keys
-    are packed once each.
+    are packed once each. With `position`, the first of the keys, a long, sequences follow it: they ascend by the first item in them.
     """
     lanes = max(64, items.count() // LANE_ITEMS)
-    clash = [c for c in items.columns if c in ("_k", "_lane", "_n", "_first", "_all", "_base", "_i")]
+    clash = [c for c in items.columns if c in ("_k", "_lane", "_n", "_first", "_all", "_base", "_i", "_bin")]
     if clash:
         raise ValueError(f"columns with names that the packing uses: {clash}")
-    items = items.withColumns({"_k": F.floor(F.lit(capacity) / F.col("length")), "_lane": F.pmod(F.xxhash64(*keys, "length"), F.lit(lanes))})
+    lane = F.pmod(F.xxhash64(*keys, "length"), F.lit(lanes))
+    if position:
+        lanes_of = F.lit(lanes) / F.lit((items.agg(F.max(position)).first()[0] or 0) + 1)
+        lane = F.floor(F.col(position) * lanes_of)
+    items = items.withColumns({"_k": F.floor(F.lit(capacity) / F.col("length")), "_lane": lane})
     share = items.groupBy("_k", "_lane").agg(F.count("*").alias("_n"))
     share = share.withColumn("_first", F.sum("_n").over(W.partitionBy("_k").orderBy("_lane")) - F.col("_n"))
     whole = share.groupBy("_k").agg(F.sum("_n").alias("_all"))
@@ -162,30 +186,43 @@ def harmonic_pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY) -
     numbered = materialize(numbered.drop("_first", "_lane"), "packing-numbered")
     names = [c for c in items.columns if c not in ("_k", "_lane")]
     bin_ = F.expr("_i div _k")
-    packed = numbered.filter(bin_ < full).withColumn("sequence_id", F.col("_base") + bin_)
-    upto = W.partitionBy("sequence_id").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    packed = numbered.filter(bin_ < full).withColumn("_bin", F.col("_base") + bin_)
+    upto = W.partitionBy("_bin").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
     packed = packed.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0)))
-    rest = numbered.filter(bin_ >= full).coalesce(1).sortWithinPartitions(F.desc("length"), *keys)
-    schema = T.StructType([*rest.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    rest = numbered.filter(bin_ >= full).coalesce(1).sortWithinPartitions(*([] if position else [F.desc("length")]), *keys)
+    schema = T.StructType([*rest.schema, T.StructField("_bin", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if full := [b for b in batches if b.num_rows]:
             rows = pa.Table.from_batches(full)
             placed = first_fit(rows["length"].to_pylist(), capacity)
             base = rows["_bins"].to_pylist()
-            rows = rows.append_column("sequence_id", pa.array([b + at for b, (at, _) in zip(base, placed, strict=True)], pa.int64()))
+            rows = rows.append_column("_bin", pa.array([b + at for b, (at, _) in zip(base, placed, strict=True)], pa.int64()))
             yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
 
     rest = map_batches(rest, run, schema)
-    return packed.select(*names, "sequence_id", "offset").unionByName(rest.select(*names, "sequence_id", "offset"))
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    made = packed.select(*names, "_bin", "offset").unionByName(rest.select(*names, "_bin", "offset"))
+    if not position:
+        return made.withColumn("sequence_id", F.col("_bin")).select(*names, "sequence_id", "offset")
+    made = materialize(made, "packing-placed")
+    bins = made.groupBy("_bin").agg(F.min(F.struct(*keys)).alias("_first"))
+    bins = materialize(bins.withColumn("_lane", F.floor(F.col("_first")[position] * lanes_of)), "packing-bins")
+    lower = bins.groupBy("_lane").agg(F.count("*").alias("_n"))
+    lower = lower.withColumn("_base", F.sum("_n").over(W.orderBy("_lane")) - F.col("_n")).drop("_n")
+    number = F.row_number().over(W.partitionBy("_lane").orderBy("_first")) - 1
+    bins = bins.withColumn("_at", number).join(F.broadcast(lower), "_lane").select("_bin", (F.col("_base") + F.col("_at")).alias("sequence_id"))
+    return made.join(bins, "_bin").select(*names, "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, with_ids: bool = False, ordered: bool = False) -> DataFrame:
     """Packs all documents (doc_id, text; other columns are ignored) into sequences of at most `capacity` tokens.
 
     One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, (ids,) sequence_id, offset.
     A null or empty text has the end id alone. A null doc_id stays null, repeated rows are packed as
     often as they occur, texts of any length are cut, and an empty table gives an empty result.
+    If `ordered`, the sequences follow the order of the rows of docs.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, least, end_id, with_ids), "packing-pieces")
+    pieces = materialize(token_pieces(positioned(docs) if ordered else docs.drop("_pos"), tokenizer, capacity, least, end_id, with_ids), "packing-pieces")
+    if ordered:
+        return harmonic_pack(pieces, ["_pos", "start"], capacity, "_pos").drop("_pos")
     return harmonic_pack(pieces, ["doc_id", "start", "ids_crc32"], capacity)
