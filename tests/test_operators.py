@@ -135,6 +135,17 @@ def test_baskets_without_repeats(spark):
     assert [r["items"] for r in product.baskets(df).collect()] == [[5, 6]]
 
 
+def test_item_similarity_of_users_with_many_products(spark):
+    rows = [(u, p, 1.0 + (u * p) % 5) for u in (1, 2) for p in range(520)] + [(3, 0, 2.0), (3, 1, 3.0)]
+    got = {(r["product_a"], r["product_b"]): (r["common"], r["similarity"]) for r in product.item_similarity(spark.createDataFrame(rows, "customer_id long, product_id long, rating double")).collect()}
+    rating = {(u, p): x for u, p, x in rows}
+    norm = {p: sum(rating.get((u, p), 0) ** 2 for u in (1, 2, 3)) ** 0.5 for p in range(520)}
+    assert set(got) == {(p, q) for q in range(520) for p in range(q)} and got[0, 1][0] == 3 and got[7, 300][0] == 2
+    for p, q in ((0, 1), (7, 300), (18, 519), (250, 251)):
+        dot = sum(rating.get((u, p), 0) * rating.get((u, q), 0) for u in (1, 2, 3))
+        assert got[p, q][1] == pytest.approx(dot / (norm[p] * norm[q]))
+
+
 def test_plans(spark, sf, capsys):
     """No Python in plans, filters and columns at the scan."""
     made = fraud.apply_rules(fraud.velocity(transactions(spark, sf).withColumnsRenamed({"amount": "price"}).withColumn("merchant_id", F.lit(1)), {"1h": "1 hour"}))
