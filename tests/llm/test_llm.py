@@ -242,6 +242,16 @@ def test_quality_ratio(spark):
         assert got[i]["llr"] == pytest.approx(sum(llr[g] for g in grams[i]) / len(grams[i]), rel=0.05)  # buckets may be shared
 
 
+def test_quality_trusts_all_labelled_ids(spark):
+    many = spark.range(600_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(many).count() == 600_000
+    got = {(r["doc_id"], r["_t"]) for r in quality.marked(docs(spark), many).collect()}
+    assert got == {(r[0], int(r[0] is not None)) for r in ROWS} and quality.marked(docs(spark), many).count() == len(ROWS)
+    few = many.filter("doc_id % 2 = 0")
+    a, b = (sorted(map(str, quality.marked(docs(spark), few, most).collect())) for most in (0, 600_000))
+    assert a == b
+
+
 def test_quality_without_rows_or_labels(spark):
     assert quality.judge(empty(spark), labels(spark)).count() == 0
     assert quality.keep(clashing(spark), labels(spark, [(None, 1, 0), (4, None, 0)])).columns == clashing(spark).columns

@@ -19,7 +19,7 @@ BUCKETS = 1 << 15
 PRIOR = 10_000.0
 THRESHOLD = -0.5
 WINDOW = 8
-#: Trusted ids are broadcast; beyond this number those with the least hashes serve.
+#: Trusted ids are broadcast; beyond this number they are joined by a shuffle.
 MOST_TRUSTED = 500_000
 SYMBOLS = "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -72,18 +72,24 @@ def grams(found: Column, buckets: int) -> Column:
     return let(ends, both)
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """Distinct ids labelled as of good quality, at most about `most`: all, or those whose hashes are least."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    whole = good.agg(F.count("*")).scalar()
-    return good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(most << 30)) / whole)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Distinct ids labelled as of good quality."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
+def marked(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, text and _t, 1 for documents with a trusted id; texts travel only if there are more than `most` such ids."""
+    docs, trusted = docs.select("doc_id", "text"), materialize(trusted_ids(labels).withColumn("_t", F.lit(1)), "quality-trusted")
+    if trusted.count() <= (MOST_TRUSTED if most is None else most):
+        made = docs.join(F.broadcast(trusted), "doc_id", "left")
+    else:  # null ids are never trusted and would all meet in one task
+        made = docs.filter("doc_id IS NOT NULL").join(trusted.hint("merge"), "doc_id", "left").unionByName(docs.filter("doc_id IS NULL").withColumn("_t", F.lit(None).cast("int")))
+    return made.withColumn("_t", F.coalesce("_t", F.lit(0)))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row, one column: log p_trusted - log p_raw of each bucket as an array (0 where the corpus has none)."""
-    trusted = trusted_ids(labels).withColumn("_t", F.lit(1))
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
-    each = marked.select(F.coalesce("_t", F.lit(0)).alias("_t"), F.explode(grams(words(F.col("text")), buckets)).alias("bucket"))
+    each = marked(docs, labels).select("_t", F.explode(grams(words(F.col("text")), buckets)).alias("bucket"))
     counts = materialize(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("trusted")), "quality-counts")
     n, t = (counts.agg(F.sum(c)).scalar() for c in ("raw", "trusted"))
     raw = F.col("raw") / n
