@@ -206,3 +206,18 @@ def test_consumers(spark, sf):
 def test_drift_of_the_same_data_is_zero(spark, sf):
     df = behavior(spark, sf)
     assert ml.drift(df, df, ["value"]).first()["drift_score"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_fraud_learners_have_their_full_size(spark, sf, monkeypatch):
+    forest, boosted = (ml.fraud_pipeline(k).getStages()[-1] for k in ("random_forest", "gradient_boosting"))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), boosted.getMaxDepth()) == (100, 10, 100, 5)
+    made, kinds = ml.fraud_pipeline, []
+    monkeypatch.setattr(ml, "fraud_pipeline", lambda kind="random_forest": kinds.append(kind) or made(kind))
+    from tidemill.plans.all_queries import QUERIES
+
+    QUERIES["fraud_model_predictions"](spark, sf)
+    rows = [(i, i % 50, f"m{i % 3}", 10.0 + i % 7 * 100, at(60 * i)) for i in range(300)]
+    tx = spark.createDataFrame(rows, "transaction_id long, customer_id long, payment_method string, price double, ts timestamp").withColumn("is_fraud", (F.col("price") > 500).cast("int"))
+    features = ml.fraud_features(tx)
+    assert ml.cross_validate(features, "random_forest", 2) > 0.9 and ml.cross_validate(features, "logistic_regression", 2) > 0.9
+    assert kinds == ["random_forest", "random_forest", "logistic_regression"]

@@ -52,7 +52,7 @@ def fraud_model_ensemble(spark, sf):
 @query()
 def fraud_model_predictions(spark, sf):
     features = ml.fraud_features(pay(spark, sf))
-    return ml.predict_fraud(features, ml.fraud_pipeline("logistic_regression").fit(features)).select("transaction_id", "fraud_probability", "fraud_prediction")
+    return ml.predict_fraud(features, ml.fraud_pipeline().fit(features)).select("transaction_id", "fraud_probability", "fraud_prediction")
 
 
 @query()
