@@ -221,3 +221,25 @@ def test_fraud_learners_have_their_full_size(spark, sf, monkeypatch):
     features = ml.fraud_features(tx)
     assert ml.cross_validate(features, "random_forest", 2) > 0.9 and ml.cross_validate(features, "logistic_regression", 2) > 0.9
     assert kinds == ["random_forest", "random_forest", "logistic_regression"]
+
+
+def test_affinity_and_cross_sell_are_of_whole_products(spark, sf):
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    from tidemill.plans.all_queries import QUERIES
+
+    found = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        found[r[0]].add(r[1])
+    count = Counter(x for b in found.values() if len(b) > 1 for n in range(1, len(b) + 1) for x in combinations(sorted(b), n))
+    affinity, cross = {}, Counter()
+    for x, n in count.items():
+        for b in x if n > 1 and len(x) > 1 else ():
+            rest = tuple(a for a in x if a != b)
+            share = n / count[rest]
+            for a in rest if share >= 0.05 else ():
+                affinity[a, b] = max(affinity.get((a, b), 0), share)
+                cross[a, b] += share > 0.1
+    assert {(r["product_a"], r["product_b"]): r["max_confidence"] for r in QUERIES["product_affinity"](spark, sf).collect()} == pytest.approx(affinity)
+    assert Counter((r["product"], r["recommended"]) for r in QUERIES["product_cross_sell"](spark, sf).collect()) == +cross

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators import product, revenue
@@ -219,16 +220,21 @@ def product_association_rules(spark, sf):
     return rounded(pairs.select(F.col("antecedent")[0].alias("product_a"), F.col("consequent")[0].alias("product_b"), "confidence", "lift"), "confidence", "lift", digits=6)
 
 
+def twice(found: DataFrame) -> float:
+    """The support of what is in two baskets or more."""
+    return 1.5 / max(2, found.count())
+
+
 @query()
 def product_affinity(spark, sf):
-    found = product.baskets(lines(spark, sf).withColumn("product_id", F.col("product_id") % 25))
-    return product.affinity(product.frequent_itemsets(found, 0.01, 0.05)[1])
+    found = product.baskets(lines(spark, sf))
+    return product.affinity(product.frequent_itemsets(found, twice(found), 0.05)[1])
 
 
 @query()
 def product_cross_sell(spark, sf):
-    found = product.baskets(lines(spark, sf).withColumn("product_id", F.col("product_id") % 25))
-    return product.cross_sell(product.frequent_itemsets(found, 0.005, 0.05)[1], 0.1)
+    found = product.baskets(lines(spark, sf))
+    return product.cross_sell(product.frequent_itemsets(found, twice(found), 0.05)[1], 0.1)
 
 
 @query()
