@@ -189,7 +189,7 @@ def harmonic_pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY, p
     packed = numbered.filter(bin_ < full).withColumn("_bin", F.col("_base") + bin_)
     upto = W.partitionBy("_bin").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
     packed = packed.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0)))
-    rest = numbered.filter(bin_ >= full).coalesce(1).sortWithinPartitions(*([] if position else [F.desc("length")]), *keys)
+    rest = numbered.filter(bin_ >= full).repartition(1).sortWithinPartitions(*([] if position else [F.desc("length")]), *keys)
     schema = T.StructType([*rest.schema, T.StructField("_bin", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
