@@ -514,48 +514,66 @@ def test_katz_without_training_rows(spark):
 # 9 mixing
 
 
-def plain_mix(counts, q, block):
-    """Earliest deadline first, round by round: the slot of each (source, block)."""
-    order = sorted(counts, key=lambda s: (-counts[s], s))
-    blocks = {s: math.ceil(counts[s] / block) for s in counts}
-    at, offset, rnd = {}, 0, 0
-    while True:
-        m = {s: max(0, min(q[s], blocks[s] - rnd * q[s])) for s in order}
-        size = sum(m.values())
-        if not size:
-            return at
-        done = dict.fromkeys(order, 0)
-        for t in range(size):
-            ready = [(-(-(done[s] + 1) * size // m[s]), i, s) for i, s in enumerate(order) if done[s] < m[s] and done[s] * size // m[s] <= t]
-            s = min(ready)[2]
-            at[s, rnd * q[s] + done[s]] = offset + t
-            done[s] += 1
-            for x in order:
-                assert abs(done[x] - (t + 1) * m[x] / size) < 1  # less than one block from the share
-        offset, rnd = offset + size, rnd + 1
-
-
-def test_mixing_against_a_simulation(spark):
-    counts = {"=a": 400, "=b": 90, "=c": 30, "": 25}
-    rows = [(i, "t", "en", None if s == "" else s[1:]) for s, n in counts.items() for i in range(n)]
-    weights = {s: n**0.5 for s, n in counts.items()}
-    q = {s: max(1, round(w / sum(weights.values()) * 16)) for s, w in weights.items()}
-    want = plain_mix(counts, q, 4)
-    got = mixing.mix(docs(spark, rows), block_docs=4, resolution=16).collect()
-    assert len(got) == len(rows)
+def worst_deviation(got, weights, block):
+    """The greatest distance of a source from its exact target, in blocks, over all slots."""
+    slots, counts = {}, Counter()
     for r in got:
-        source = "" if r["source"] is None else f"={r['source']}"
-        assert r["block"] == r["doc_id"] // 4 and r["block_position"] == want[source, r["block"]] and r["position"] == r["block_position"] * 4 + r["doc_id"] % 4
+        assert slots.setdefault(r["block_position"], (r["source"], r["block"])) == (r["source"], r["block"])
+        assert r["position"] // block == r["block_position"]
+        counts[r["source"]] += 1
+    assert sorted(slots) == list(range(len(slots))) and len({r["position"] for r in got}) == len(got)
+    names = sorted(counts, key=str)
+    blocks = np.array([-(-counts[s] // block) for s in names], float)
+    w = np.array([weights[s] for s in names])
+    ends = np.sort(blocks / w)
+    v = np.interp(np.arange(1, len(slots) + 1), [0, *(np.minimum(w * x, blocks).sum() for x in ends)], [0, *ends])
+    done, worst = np.zeros(len(names)), 0.0
+    for at in range(len(slots)):
+        source, number = slots[at]
+        assert number == done[names.index(source)]
+        done[names.index(source)] += 1
+        worst = max(worst, np.abs(done - np.minimum(w * v[at], blocks)).max())
+    return worst
+
+
+def sourced(spark, counts):
+    return docs(spark, [(i, "t", "en", s) for s, n in counts.items() for i in range(n)])
+
+
+def test_mixing_stays_within_a_block_of_exact_targets(spark):
+    counts = {"a": 400, "b": 90, "c": 30, None: 25}
+    got = mixing.mix(sourced(spark, counts), block_docs=4, slots=64).collect()
+    assert len(got) == 545 and all(r["block"] == r["doc_id"] // 4 for r in got)
+    assert worst_deviation(got, {s: n**0.5 for s, n in counts.items()}, 4) < 1
+    counts = {f"s{i}": 3 + 400 // (i + 1) for i in range(300)}
+    got = mixing.mix(sourced(spark, counts), block_docs=1).collect()
+    assert worst_deviation(got, {s: n**0.5 for s, n in counts.items()}, 1) < 1
+
+
+def test_mixing_with_weights_that_no_round_can_hold(spark):
+    counts = {f"s{i}": 60 for i in range(40)}
+    weights = {s: 3.0 ** -(i % 12) for i, s in enumerate(counts)}
+    got = mixing.mix(sourced(spark, counts), weights=weights, block_docs=1, slots=64).collect()
+    assert len(got) == 2400 and worst_deviation(got, weights, 1) < 2
+    weights = {"a": 1.0, "b": 1e-6}
+    got = mixing.mix(sourced(spark, {"a": 3000, "b": 5}), weights=weights, block_docs=1).collect()
+    assert worst_deviation(got, weights, 1) < 1
+    with pytest.raises(ValueError):
+        mixing.mix(docs(spark), weights={"a": 0.0}).count()
 
 
 def test_mixing_hard_rows(spark):
-    got = mixing.mix(clashing(spark), block_docs=1, resolution=8)
+    got = mixing.mix(clashing(spark), block_docs=1)
     assert got.count() == len(ROWS) and got.select("block_position").distinct().count() == len(ROWS)
-    assert mixing.mix(empty(spark)).count() == 0
-    assert mixing.in_order(clashing(spark)).columns == clashing(spark).columns
-    few = mixing.mix(docs(spark), block_docs=1, resolution=8, most_sources=2)
-    assert few.count() == len(ROWS) and few.select("block_position").distinct().count() == len(ROWS)
-    given = mixing.mix(docs(spark), weights={"a": 3.0, "b": 1.0}, block_docs=1, resolution=8)
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.in_order(empty(spark)).count() == 0
+    taken = [F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in ("rank", "q", "before", "block", "position", "_s", "_i", "_row", "_file", "_at", "_id", "w", "slot", "k", "_metadata", "a.b")]
+    table = docs(spark).select("*", *taken)
+    got = mixing.in_order(table, block_docs=1)
+    assert got.columns == table.columns and sorted(map(str, got.collect())) == sorted(map(str, table.collect()))
+    kept = [f"`{c}`" for c in table.columns if c not in ("block", "position")]
+    got = mixing.mix(table, block_docs=1)
+    assert sorted(map(str, got.select(*kept).collect())) == sorted(map(str, table.select(*kept).collect()))
+    given = mixing.mix(docs(spark), weights={"a": 3.0, "b": 1.0}, block_docs=1)
     assert given.count() == len(ROWS)
 
 

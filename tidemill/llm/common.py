@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,19 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """Each row of docs as _row, a struct of all its columns, with the place where it is written: _file and _at, the row in the file.
+
+    What does not come straight from files is written first. Whatever the columns of docs are named, they clash with nothing here.
+    """
+    boxed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    if "_metadata" not in {c.lower() for c in docs.columns}:
+        with contextlib.suppress(AnalysisException):
+            return docs.select(boxed, *place)
+    return materialize(docs.select(boxed), "placed").select("_row", *place)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files that a materialized table was read from, when nothing reads them any more."""
     jvm = df.sparkSession.sparkContext._jvm
