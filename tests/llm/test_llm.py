@@ -616,6 +616,46 @@ def test_secret_base_is_the_plain_one(text):
     assert ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in got) == plain_base(text)
 
 
+def plain_literals(lines):
+    """Places of the literals that reach a sensitive name with enough strength: lines of (name, parts), a part is a name or a quoted literal."""
+    text, known, out = "", {}, set()
+    for name, parts in lines:
+        text += f"{name} = "
+        value = []  # (character, place of its literal)
+        for i, part in enumerate(parts):
+            text += " + " * bool(i)
+            if part.startswith("'"):
+                value += [(c, (len(text) + 1, len(text) + len(part) - 1)) for c in part[1:-1]]
+            else:
+                value += known.get(part) or [(c, (len(text), len(text) + len(part))) for c in part]
+            text += part
+        text += "\n"
+        known[name] = value
+        joined = "".join(c for c, _ in value)
+        if len(value) <= secrets.LONGEST and secrets.sensitivity(name) * secrets.strength(joined) >= secrets.THRESHOLD:
+            out |= {place for _, place in value}
+    return text, sorted(out)
+
+
+PARTS = ("'q8Zr2kLw'", "'9TbX4mNc7'", "'plain'", "''", "'Hs5'", "first", "second", "auth_key")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["first", "second", "auth_key", "client_key"]), st.lists(st.sampled_from(PARTS), min_size=1, max_size=4)), max_size=7))
+def test_secret_literals_are_the_plain_ones(lines):
+    text, want = plain_literals(lines)
+    assert sorted((s[1], s[2]) for s in secrets.spans(text) if s[0] == "literal") == want
+
+
+def test_secrets_of_names_joined_with_themselves():
+    for first in ("'Ab3'", "''"):
+        text = f"a = {first}\n" + "a = a + a\n" * 60 + "client_key = a + 'q8Zr2kLw9TbX4mNc'\n"
+        found = [text[s[1] : s[2]] for s in secrets.spans(text)]
+        assert found == ([] if first != "''" else ["q8Zr2kLw9TbX4mNc"])  # far longer than a key, or the key alone
+    text = "client_key = " + " + ".join(["'q8Zr2kLw'"] * 50_000)
+    assert secrets.spans(text) == []
+
+
 def test_redaction(spark):
     df = clashing(spark)
     got = secrets.redact(df)
