@@ -476,32 +476,36 @@ def brute_katz(rows):
 
     for h in list(after)[:20]:
         assert sum(p(h, w) for w in c) + p(h, "\0unknown") == pytest.approx(1.0, abs=1e-9)
-    out = {}
+    out = []
     for d, ts in texts.items():
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for t in ts for w in t)
-        score = sum(math.log10(p(h, w)) for t in ts for h, w in zip(["\0start", *t[:-1]], t, strict=True))
-        out[d] = (sum(map(len, ts)), sum(c[w] > 0 for t in ts for w in t), n, base, score)
-    return out
+        for t in ts:
+            base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t)
+            score = sum(math.log10(p(h, w)) for h, w in zip(["\0start", *t[:-1]], t, strict=True))
+            out.append((str(d), len(t), sum(c[w] > 0 for w in t), n, base, score))
+    return sorted(out)
+
+
+def check_katz(got, want):
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    np.testing.assert_allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-11, atol=1e-9)
 
 
 def test_katz_against_brute_force(spark):
-    rows = [*ROWS, *[(30 + i, f"{PROSE} {'again ' * (i % 7)} tail{i % 5} of it", "en", "a") for i in range(60)]]
-    got = katz.score(docs(spark, rows)).collect()
-    want = brute_katz(rows)
-    assert len(got) == len(want)
-    for r in got:
-        n, known, train, base, score = want[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, train)
-        assert r["base_score"] == pytest.approx(base, abs=1e-4) and r["score"] == pytest.approx(score, abs=1e-4)
+    again = [(5, "other text under an id that is used twice", "en", "a"), (None, "one more without an id", "en", "a")]
+    rows = [*ROWS, *again, *[(30 + i, f"{PROSE} {'again ' * (i % 7)} tail{i % 5} of it", "en", "a") for i in range(60)]]
+    check_katz(katz.score(docs(spark, rows)).collect(), brute_katz(rows))
 
 
-def test_katz_in_many_blocks_and_buckets(spark, monkeypatch):
-    rows = [(i, f"{PROSE} number {i} {'x' * (i % 3)}", "en", "a") for i in range(80)]
+@pytest.mark.parametrize("frequent, row_pairs, buckets", [(0, 3, 7), (10, 2, 128), (40, 1 << 16, 1)])
+def test_katz_in_many_blocks_and_buckets(spark, monkeypatch, frequent, row_pairs, buckets):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"{PROSE if i % 3 else ''} number {i} {'x' * (i % 3)} " + " ".join(f"v{int(x)}" for x in rng.zipf(1.3, 80) % 997), "en", "a") for i in range(120)]
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
-    monkeypatch.setattr(katz, "FREQUENT", 10)
-    want = brute_katz(rows)
-    for r in katz.score(docs(spark, rows)).collect():
-        assert r["score"] == pytest.approx(want[r["doc_id"]][4], abs=1e-4)
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
+    monkeypatch.setattr(katz, "ROW_PAIRS", row_pairs)
+    monkeypatch.setattr(katz, "LEAST_BUCKETS", buckets)
+    check_katz(katz.score(docs(spark, rows)).collect(), brute_katz(rows))
 
 
 def test_katz_without_training_rows(spark):

@@ -8,6 +8,7 @@ import gc
 import os
 import sys
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -38,10 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: str | None = None, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later stages start from files that outlive executors."""
     at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(at)
+    writer = df.write.options(**options)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -68,9 +70,11 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: first Python's references to them go, which takes a moment, then the JVM's."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:

@@ -6,22 +6,25 @@ to K are discounted by Good-Turing. The one more count in the denominators leave
 something for unseen successors, and the backoff weight a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of
 P(w) of the same words) makes each history's distribution sum to one exactly.
 
-Words are known by their 64-bit XXH64. Token counts form one table (unigrams); histories with their backoff
-weights form another (histories); both are written. The occurrences (document, history, word) travel once, in
-compressed blocks dealt into buckets by word, so that a bucket knows all pairs of its words. Words of
-more than 1/4096 of all tokens (so at most 4096 words) are dealt by word and history instead.
-Each token is evaluated recursively: pairs that were seen end in their bucket, the others go on
-to the bucket of their history for its backoff weight. The number of buckets follows the corpus,
-and a bucket's sums go back to the block of documents that they came from.
+Words are known by their 64-bit XXH64. The model is three tables, written in the shared folder: unigrams (token, c),
+pairs (a word with its histories and their counts) and histories (history, c, weight).
+
+Documents form blocks, which are written as streams of word numbers. A block deals its distinct pairs,
+counted already, to buckets by word, and gets back how often each was seen and how often each word; so a frequent pair
+is one entry a block. Words of more than 1/4096 of all tokens (so at most 4096 words) are dealt by their history instead.
+Histories' sums are one aggregation over the pairs. Each token is then evaluated recursively, in its block:
+a seen pair by its count, any other by the backoff weight of its history and its word. Weights of the FREQUENT most
+frequent histories are known to all tasks, the others are asked for by join.
+
+A block sends a bucket one row, and never more rows than it has words, so rows grow with the corpus however many blocks and
+buckets there are.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,16 @@ from tidemill.llm.common import fold, map_batches, materialize, release, ship, t
 
 K = 5
 #: Tokens in a block of documents, and about as many as a bucket gets.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 3_000_000
 BUCKET_TOKENS = 1_500_000
 LEAST_BUCKETS = 128
-#: At most so many of the most frequent words are known to all tasks: their numbers stand for them in blocks.
+#: At most so many of the most frequent words are known to all tasks.
 FREQUENT = 1 << 16
-NULL_ID = -(1 << 63)
+#: Histories in one row of the table of pairs.
+ROW_PAIRS = 1 << 16
 END = xxhash.xxh64_intdigest(b"\x00end")
 START = xxhash.xxh64_intdigest(b"\x00start")
-MIX = np.uint64(0x9E3779B97F4A7C15)
+END_LONG, START_LONG = np.array([END, START], np.uint64).view(np.int64).tolist()
 
 
 def small(x: np.ndarray) -> np.ndarray:
@@ -52,18 +56,27 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def coarse(x: np.ndarray) -> tuple[float, np.ndarray]:
-    """A scale and x in 32-bit steps of it: 2^-30 of the greatest of a blob's sums, under a millionth where they are under 1000."""
-    scale = 2.0 ** (30 - math.ceil(math.log2(max(float(np.abs(x).max(initial=0.0)), 1e-9))))
-    return scale, np.rint(x * scale).astype(np.int32)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, byte by byte of each number, compressed."""
+    parts = [(x.dtype.str, x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) for x in map(np.ascontiguousarray, arrays)]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts))
 
 
-def packed(*parts: Any) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).reshape(-1).view(kind))
+    return out
 
 
-def unpacked(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list of each stretch of values that begins at a start."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values, kind))
 
 
 def discounts(seen: dict[int, int], k: int = K) -> np.ndarray:
@@ -80,32 +93,6 @@ def discounts(seen: dict[int, int], k: int = K) -> np.ndarray:
     return d
 
 
-def token_counts(docs: DataFrame, train: Column) -> DataFrame:
-    """token (XXH64 as a signed long) and c, its count in the training documents, ends of text included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
-
-        def out() -> pa.RecordBatch:
-            tokens = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
-
-        for batch in batches:
-            for text in texts(batch):
-                seen.update(text.encode().lower().split())
-                ends += 1
-                if len(seen) > 300_000:
-                    yield out()
-                    seen.clear()
-        if ends:
-            seen[None] = ends
-            yield out()
-
-    made = map_batches(docs.filter(train).select("text"), run, "token long, c long")
-    return made.groupBy("token").agg(F.sum("c").alias("c"))
-
-
 class Numbers(dict):
     """word -> its number in a block, and the hashes in the order of the numbers."""
 
@@ -119,245 +106,306 @@ class Numbers(dict):
         return out
 
 
-def occurrences(docs: DataFrame, train: Column, frequent: np.ndarray, split: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, block, blob): the tokens with their histories of one block of documents, for one bucket.
+def blocks(docs: DataFrame, train: Column) -> DataFrame:
+    """block, words, stream: the documents of docs in blocks.
 
-    frequent: sorted hashes of the most frequent words; split: those dealt by word and history.
-    One blob of each block has its documents instead of tokens.
+    words: the sorted hashes of a block's words (and of the two ends), as steps, and the training count of each.
+    stream: the words' places in that list, text by text, the texts' numbers of words, whether each is a
+    training text, the ids and whether there is one, and the places of END and START.
     """
 
-    def deal(block: int, numbers: Numbers, rows: list[np.ndarray], ids: list[int], flags: list[bool]) -> Iterator[tuple[int, int, bytes]]:
-        hashes, n_docs = np.array(numbers.hashes, np.uint64), len(ids)
-        v = len(hashes)
-        end, start = np.zeros(1, np.int32), np.ones(1, np.int32)
-        key = np.concatenate([x for r in rows for x in (r, end)]).astype(np.int64)
-        key *= v
-        key += np.concatenate([x for r in rows for x in (start, r)])
-        key *= n_docs
-        key += np.repeat(np.arange(n_docs, dtype=np.int32), [len(r) + 1 for r in rows])
-        rows.clear()
-        key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count, key = np.diff(np.append(first, len(key))).astype(np.int32), key[first]
-        del first
-        doc = (key % n_docs).astype(np.int32)
-        key //= n_docs
-        h, w = (key % v).astype(np.int32), (key // v).astype(np.int32)
-        del key
-        to = (hashes % np.uint64(buckets)).astype(np.int32)[w]
-        spread = np.isin(hashes, split)[w]
-        to[spread] = ((hashes[w[spread]] ^ (hashes[h[spread]] * MIX)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(to.astype(np.uint16) if buckets <= 1 << 16 else to, kind="stable").astype(np.int32)
-        to, w, h, doc, count = to[order], w[order], h[order], doc[order], count[order]
-        del order, spread
-        at = np.searchsorted(frequent, hashes)
-        known = np.minimum(at, max(0, len(frequent) - 1))
-        is_frequent = frequent[known] == hashes if len(frequent) else np.zeros(v, bool)
-        # Numbers of histories in blobs: frequent words by their place, others by len(frequent) + place in the blob.
-        edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-        train_bits = np.packbits(np.array(flags, bool))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            new = np.flatnonzero(np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]]))
-            part = h[a:b]
-            rare, place = np.unique(part[~is_frequent[part]], return_inverse=True)
-            number = known[part]
-            number[~is_frequent[part]] = len(frequent) + place
-            blob = packed(hashes[w[a:b][new]], small(np.diff(np.append(new, b - a))), hashes[rare], small(number), small(doc[a:b]), small(count[a:b]), train_bits)
-            yield int(to[a]), block, blob
-        yield block % buckets, -1 - block, packed(np.array(ids, np.int64), train_bits)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         numbers, rows, ids, flags, held = Numbers(), [], [], [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            dealt = list(deal((task << 24) + made, numbers, rows, ids, flags))
-            kinds = (pa.int32(), pa.int64(), pa.binary())
-            for i in range(0, len(dealt), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt[i : i + 256], strict=True), kinds, strict=True)], ["bucket", "block", "blob"])
+        def out() -> pa.RecordBatch:
+            hashes = np.array(numbers.hashes, np.uint64)
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            sizes, known = np.array([len(r) for r in rows], np.int64), np.array(flags, bool)
+            stream = place[np.concatenate(rows)]
+            count = np.bincount(stream[np.repeat(known, sizes)], minlength=len(order))
+            count[place[0]] += known.sum()
+            has_id = np.array([x is not None for x in ids], bool)
+            words = packed(steps(hashes[order]), small(count))
+            blob = packed(small(stream), small(sizes), known, np.array([x or 0 for x in ids], np.int64), has_id, place[:2], np.array([len(order)]))
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + made], pa.int64()), pa.array([words], pa.binary()), pa.array([blob], pa.binary())], ["block", "words", "stream"])
 
         for batch in batches:
             for doc_id, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
                 found = text.encode().lower().split()
                 rows.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-                ids.append(NULL_ID if doc_id is None else doc_id)
+                ids.append(doc_id)
                 flags.append(flag)
                 held += len(found) + 1
                 if held >= BLOCK_TOKENS:
-                    yield from out()
+                    yield out()
                     numbers, rows, ids, flags, held, made = Numbers(), [], [], [], 0, made + 1
                     trim()
         if ids:
-            yield from out()
+            yield out()
         numbers.clear()
         trim()
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), train, "text"), run, "bucket int, block long, blob binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), train.alias("train"), "text"), run, "block long, words binary, stream binary")
 
 
-SUMS = ("tokens", "known", "ends")
+def token_counts(made: DataFrame) -> DataFrame:
+    """token (XXH64 as a signed long) and c, its count in the training documents, ends of text included."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                hashes, count = unpacked(blob.as_py())
+                seen = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(hashes)[seen].view(np.int64)), pa.array(count[seen], pa.int64())], ["token", "c"])
 
-def bucket_sums(dealt: DataFrame, frequent: np.ndarray, frequent_c: np.ndarray, split: np.ndarray, unigram: tuple[int, int, np.ndarray, float], buckets: int) -> DataFrame:
-    """What a bucket knows: kind 0 numbers of pairs by count, 1 sums of documents, 2 documents, 3 parts of histories."""
-    n_train, n_types, d1, unknown = unigram
-    least = math.log10(n_train + 0.1 * (n_types + 1))
+    return map_batches(made.select("words"), run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
-    def run(found: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        blocks, ws, hs, w_at, h_at, docs, counts, trains, which = [], [], [], [], [], [], [], [], []
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """By the leading bits, so that sorted hashes have sorted buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+class Stream:
+    """The tokens of a block with their histories, as places in the block's list of words."""
+
+    def __init__(self, blob: bytes):
+        stream, sizes, self.train, self.ids, self.has_id, ends, n = unpacked(blob)
+        self.n_words, (end, self.start) = int(n[0]), ends.tolist()
+        self.sizes = sizes.astype(np.int64) + 1
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.word = np.full(int(self.sizes.sum()), end, np.int64)
+        inside = np.ones(len(self.word), bool)
+        inside[self.first + self.sizes - 1] = False
+        self.word[inside] = stream
+        history = np.empty_like(self.word)
+        history[1:] = self.word[:-1]
+        history[self.first] = self.start
+        self.key = self.word * self.n_words + history
+
+
+def deal(made: DataFrame, frequent: np.ndarray, split: np.ndarray, buckets: int) -> DataFrame:
+    """bucket, block, blob: what a block has for a bucket, its words there and its distinct pairs.
+
+    A blob has the words' hashes and training counts; how many pairs each begins; the pairs' histories (places in `frequent`,
+    sorted hashes, or beyond these in a list of the blob's own) and training counts; that list; and of the words in `split` those
+    pairs whose history is in the bucket: places of the word in `split`, of the history among the blob's words, counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
+                hashes, total = unpacked(words.as_py())
+                hashes, s = np.cumsum(hashes), Stream(blob.as_py())
+                key = s.key
+                key <<= 1
+                key |= np.repeat(s.train, s.sizes)
+                key.sort()
+                train, key = key & 1, key >> 1
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                count, key = np.add.reduceat(train, new), key[new]
+                del train, new
+                w, h = key // len(hashes), key % len(hashes)
+                del key
+                to = bucket_of(hashes, buckets)
+                in_split = np.searchsorted(split, hashes)
+                is_split = split[np.minimum(in_split, max(0, len(split) - 1))] == hashes if len(split) else np.zeros(len(hashes), bool)
+                apart = np.flatnonzero(is_split[w])
+                apart = apart[np.argsort(to[h[apart]], kind="stable")]
+                alone = np.flatnonzero(~is_split[w])
+                at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
+                is_frequent = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), bool)
+                there = np.unique(to)
+                edges = [np.stack([np.searchsorted(x, there), np.searchsorted(x, there, "right")], axis=1) for x in (to, to[w[alone]], to[h[apart]])]
+                rows = []
+                for bucket, (a, b), (c, d), (e, f) in zip(there.tolist(), *(x.tolist() for x in edges), strict=True):
+                    own, far = alone[c:d], apart[e:f]
+                    history = h[own]
+                    rare = ~is_frequent[history]
+                    listed, place = np.unique(history[rare], return_inverse=True)
+                    number = at[history]
+                    number[rare] = len(frequent) + place
+                    blob = packed(steps(hashes[a:b]), total[a:b], small(np.bincount(w[own] - a, minlength=b - a)), small(number), small(count[own]), steps(hashes[listed]), small(in_split[w[far]]), small(h[far] - a), small(count[far]))
+                    rows.append((bucket, blob))
+                for i in range(0, len(rows), 64):
+                    part = rows[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([block.as_py()] * len(part), pa.int64()), pa.array([x[1] for x in part], pa.binary())], ["bucket", "block", "blob"])
         trim()
-        for block, blob in zip(found["block"].to_pylist(), found["blob"], strict=True):
-            if block < 0:
-                out.append((2, -1 - block, blob.as_py()))
-                continue
-            w, runs, rare, number, doc, count, bits = unpacked(blob.as_py())
-            number = number.astype(np.int64)
-            own = np.flatnonzero(np.bincount(number, minlength=1))
-            names = np.concatenate([frequent, rare])[own]
-            back = np.zeros(int(own[-1]) + 1, np.int64)
-            back[own] = np.arange(len(own))
-            w_at.append((np.repeat(np.arange(len(w)), runs) + sum(map(len, ws))).astype(np.int32))
-            h_at.append((back[number] + sum(map(len, hs))).astype(np.int32))
-            ws.append(w)
-            hs.append(names)
-            docs.append(doc.astype(np.int32))
-            counts.append(count.astype(np.int32))
-            trains.append(np.unpackbits(bits)[doc].astype(bool))
-            which.append(np.full(len(doc), len(blocks), np.int32))
-            blocks.append(block)
-        if blocks:
-            w_name, w_no = np.unique(np.concatenate(ws), return_inverse=True)
-            h_name, h_no = np.unique(np.concatenate(hs), return_inverse=True)
-            w, h = w_no.astype(np.int32)[np.concatenate(w_at)], h_no.astype(np.int32)[np.concatenate(h_at)]
-            doc, count, train, at = (np.concatenate(x) for x in (docs, counts, trains, which))
-            del ws, hs, w_at, h_at, docs, counts, trains, which, w_no, h_no
-            c = np.bincount(w, count * train, len(w_name)).astype(np.int64)
-            if len(frequent):
-                place = np.minimum(np.searchsorted(frequent, w_name), len(frequent) - 1)
-                c = np.where((frequent[place] == w_name) & np.isin(w_name, split), frequent_c[place], c)
-            p = np.where(c > 0, np.where(c <= K, d1[np.minimum(c, K)], 1.0) * c / (n_train + 1), unknown)
-            pair, pair_no = np.unique(w.astype(np.int64) * len(h_name) + h, return_inverse=True)
-            pair_no = pair_no.astype(np.int32)
-            r = np.bincount(pair_no, count * train, len(pair)).astype(np.int32)
-            del train
-            # Parts of histories.
-            seen = r > 0
-            pw, ph, pr = pair[seen] // len(h_name), pair[seen] % len(h_name), r[seen]
-            by_count = np.bincount(np.minimum(pr, K + 2), minlength=K + 3)
-            out.append((0, 0, packed(by_count)))
-            parts = np.stack([np.bincount(ph, pr == j, len(h_name)) for j in range(1, K + 1)] + [np.bincount(ph, np.where(pr > K, pr, 0), len(h_name)), np.bincount(ph, p[pw], len(h_name))])
-            del pair, seen, pw, ph, pr
-            # Sums of documents.
-            r, base, log_p, log_c = r[pair_no], (np.log10(c + 0.1) - least), np.log10(p), np.log10(c + 1.0)
-            is_end = w_name == np.uint64(END)
-            score = count * (np.where(r > 0, np.log10(np.maximum(r, 1)), log_p[w]) - np.where(is_end, 0.0, log_c)[w])
-            del pair_no
-            top = int(doc.max()) + 1
-            slot, slot_no = np.unique(at.astype(np.int64) * top + doc, return_inverse=True)
-            slot_no = slot_no.astype(np.int32)
-            total = lambda x: np.bincount(slot_no, x, len(slot))
-            sums = [total(count), total(count * (c > 0)[w]), total(count * is_end[w]), *(total(count * (r == j)) for j in range(1, K + 1)), total(count * base[w]), total(score)]
-            lost = np.flatnonzero(r == 0)
-            missing = np.stack([h[lost], at[lost], doc[lost], count[lost]]).astype(np.int64)
-            del w, h, doc, count, at, r, score, slot_no
-            edges = np.searchsorted(slot // top, np.arange(len(blocks) + 1))
-            for i, block in enumerate(blocks):
-                a, b = edges[i], edges[i + 1]
-                out.append((1, block, packed(small(slot[a:b] % top), *(small(x[a:b].astype(np.int64)) for x in sums[:-2]), coarse(sums[-2][a:b]), coarse(sums[-1][a:b]))))
-            # Histories by their bucket.
-            to = (h_name % np.uint64(buckets)).astype(np.int64)
-            wanted = np.zeros(len(h_name), bool)
-            wanted[missing[0]] = True
-            some = np.flatnonzero(wanted | (parts[: K + 1].sum(axis=0) > 0))
-            some = some[np.argsort(to[some], kind="stable")]
-            renumber = np.zeros(len(h_name), np.int64)
-            renumber[some] = np.arange(len(some))
-            missing[0] = renumber[missing[0]]
-            missing = missing[:, np.argsort(missing[0], kind="stable")]
-            block_ids = np.array(blocks, np.int64)
-            for a, b in (lambda e: zip(e[:-1], e[1:], strict=True))(np.flatnonzero(np.concatenate([[True], to[some][1:] != to[some][:-1], [True]])) if len(some) else np.zeros(1, np.int64)):
-                x, y = np.searchsorted(missing[0], [a, b])
-                ask = missing[:, x:y]
-                out.append((3, int(to[some[a]]), packed(h_name[some[a:b]], *(small(q[some[a:b]].astype(np.int64)) for q in parts[: K + 1]), parts[-1][some[a:b]], small(ask[0] - a), block_ids, small(ask[1]), small(ask[2]), small(ask[3]))))
-        kinds = (pa.int32(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array(q, t) for q, t in zip(zip(*out, strict=True) if out else ([], [], []), kinds, strict=True)], ["kind", "key", "blob"])
-
-    return dealt.groupBy("bucket").applyInArrow(run, "kind int, key long, blob binary")
-
-
-def history_weights(parts: DataFrame, d2: np.ndarray) -> DataFrame:
-    """kind 4: what the documents of a block (key) get for backing off; kind 5: a blob of histories, counts and backoff weights."""
+
+    return map_batches(made.select("block", "words", "stream"), run, "bucket long, block long, blob binary")
+
+
+COUNTS = "kind string, block long, bucket long, blob binary, word long, total long, histories array<long>, counts array<long>"
+
+
+def count_pairs(dealt: DataFrame, frequent: np.ndarray, split: np.ndarray, split_c: np.ndarray) -> DataFrame:
+    """What a bucket knows, by kind.
+
+    tallies: counts, how many pairs were seen 1, 2, ... K + 1 times. pairs: a word, its count `total`, histories and how often each
+    was seen with it. replies: for a block, counts of its words and pairs in the order of its blob, and which words are frequent.
+    asks: for a block, the pairs (places in `counts`) of a history (`word`) that were never seen, but for frequent histories.
+    """
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def rows(kind: str, n: int, **columns) -> pa.Table:
+        return pa.Table.from_arrays([pa.array([kind] * n, pa.string()) if c == "kind" else columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names)
 
     def run(found: pa.Table) -> pa.Table:
-        names, sums, asks, at = [], [], [], 0
-        for blob in found["blob"].to_pylist():
-            name, *rest = unpacked(blob)
-            of, blocks, which, doc, count = rest[K + 2 :]
-            names.append(name)
-            sums.append(np.stack([x.astype(np.float64) for x in rest[: K + 2]]))
-            asks.append(np.stack([of.astype(np.int64) + at, blocks[which], doc.astype(np.int64), count.astype(np.int64)]))
-            at += len(name)
-        name, no = np.unique(np.concatenate(names), return_inverse=True)
-        every = np.concatenate(sums, axis=1)
-        total = [np.bincount(no, x, len(name)) for x in every]
-        r = np.arange(1, K + 1)
-        c = sum(total[j - 1] * j for j in r) + total[K]
-        left = 1 - (sum(total[j - 1] * j * d2[j] for j in r) + total[K]) / (c + 1)
-        weight = np.where(c > 0, left / (1 - total[K + 1]), 1.0)
-        out = [(5, key, packed(name, c.astype(np.int64), weight)) for key in found["key"].to_pylist()[:1]]
-        of, block, doc, count = np.concatenate(asks, axis=1)
-        gain = count * (np.log10(c + 1) + np.log10(weight))[no[of]]
-        order = np.lexsort((doc, block))
-        block, doc, gain = block[order], doc[order], gain[order]
-        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.zeros(1, np.int64)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            docs, back = np.unique(doc[a:b], return_inverse=True)
-            out.append((4, int(block[a]), packed(small(docs), np.bincount(back, gain[a:b]))))
-        kinds = (pa.int32(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array(q, t) for q, t in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "key", "blob"])
-
-    return parts.groupBy("key").applyInArrow(run, "kind int, key long, blob binary")
-
-
-def document_scores(parts: DataFrame, d2: np.ndarray, starts: int) -> DataFrame:
-    """doc_id, tokens, known, base_score and score of each document of each block, from kinds 1, 2 and 4."""
+        bucket = found["bucket"][0].as_py()
+        got = [unpacked(x.as_py()) for x in found["blob"]]
+        block = found["block"].to_numpy()
+        own = [np.cumsum(x[0]) for x in got]
+        word, word_at = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(word_at, np.concatenate([x[1] for x in got])).astype(np.int64)
+        edges = np.cumsum([0, *map(len, own)])
+        word_of = [word_at[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        is_frequent = np.isin(word, frequent)
+        out, seen_counts, replies, asks = [], np.zeros(K + 1, np.int64), [[total[x]] for x in word_of], []
+        offset = np.zeros(len(got), np.int64)
+        for apart in (False, True):
+            if apart:
+                w_name, w_total = split, split_c
+                w = [x[6].astype(np.int64) for x in got]
+                h_name, h = word, [x[y[7]] for x, y in zip(word_of, got, strict=True)]
+                count = np.concatenate([x[8] for x in got]).astype(np.int64)
+            else:
+                w_name, w_total = word, total
+                w = [np.repeat(x, y[2]) for x, y in zip(word_of, got, strict=True)]
+                codes = [y[3].astype(np.int64) for y in got]
+                used = [np.flatnonzero(np.bincount(x, minlength=1)) if len(x) else np.zeros(0, np.int64) for x in codes]
+                h_names = [np.concatenate([frequent, np.cumsum(y[5])])[u] for u, y in zip(used, got, strict=True)]
+                h_name, h_no = np.unique(np.concatenate(h_names), return_inverse=True)
+                ends = np.cumsum([0, *map(len, used)])
+                h = [h_no[a:b][np.searchsorted(u, x)] for a, b, u, x in zip(ends[:-1], ends[1:], used, codes, strict=True)]
+                count = np.concatenate([x[4] for x in got]).astype(np.int64)
+                del codes, used, h_names, h_no
+            sizes = np.array([len(x) for x in w], np.int64)
+            pair, pair_at = np.unique(np.concatenate(w) * max(1, len(h_name)) + np.concatenate(h), return_inverse=True)
+            del w, h
+            r = np.bincount(pair_at, count, len(pair)).astype(np.int64)
+            seen = np.flatnonzero(r)
+            pw, ph = pair[seen] // max(1, len(h_name)), pair[seen] % max(1, len(h_name))
+            seen_counts += np.bincount(r[seen], minlength=K + 2)[1 : K + 2]
+            new = np.concatenate([[True], pw[1:] != pw[:-1]])[: len(pw)]
+            run_start = np.maximum.accumulate(np.where(new, np.arange(len(pw)), 0)) if len(pw) else np.zeros(0, np.int64)
+            start = np.flatnonzero((np.arange(len(pw)) - run_start) % ROW_PAIRS == 0)
+            out.append(rows("pairs", len(start), word=pa.array(w_name[pw[start]].view(np.int64)), total=pa.array(w_total[pw[start]], pa.int64()), histories=lists(h_name[ph].view(np.int64), start, pa.int64()), counts=lists(r[seen], start, pa.int64())))
+            each = r[pair_at]
+            which = np.repeat(np.arange(len(got)), sizes)
+            first = np.cumsum(sizes) - sizes
+            for i, (a, n) in enumerate(zip(first.tolist(), sizes.tolist(), strict=True)):
+                replies[i].append(each[a : a + n])
+            history = pair[pair_at] % max(1, len(h_name))
+            common = np.isin(h_name, frequent) | (h_name == np.uint64(START))
+            lost = np.flatnonzero((each == 0) & ~common[history]) if len(each) else np.zeros(0, np.int64)
+            asks.append((which[lost], h_name[history[lost]], lost - first[which[lost]] + offset[which[lost]]))
+            offset += sizes
+            del pair, pair_at, r, each, history, which
+        out.append(rows("tallies", 1, counts=lists(seen_counts, np.zeros(1, np.int64), pa.int64())))
+        which, history, place = (np.concatenate(x) for x in zip(*asks, strict=True))
+        order = np.lexsort((place, history, which))
+        which, history, place = which[order], history[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (history[1:] != history[:-1])])[: len(which)])
+        n = len(start)
+        out.append(rows("asks", n, block=pa.array(block[which[start]]), bucket=pa.array(np.full(n, bucket)), word=pa.array(history[start].view(np.int64)), counts=lists(place, start, pa.int64())))
+        at_frequent = np.searchsorted(frequent, word)
+        blobs = []
+        for (c, near, far), x in zip(replies, word_of, strict=True):
+            known = np.flatnonzero(is_frequent[x])
+            blobs.append(packed(small(c), small(near), small(far), small(known), small(at_frequent[x[known]])))
+        out.append(rows("replies", len(got), block=pa.array(block), bucket=pa.array(np.full(len(got), bucket)), blob=pa.array(blobs, pa.binary())))
+        trim()
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("bucket").applyInArrow(run, COUNTS)
+
+
+def history_weights(pairs: DataFrame, unigram: Column, d2: np.ndarray) -> DataFrame:
+    """history, c (how often it was one in training) and weight, its backoff weight; unigram: P(word) from a word's `total`."""
+    each = pairs.select(unigram.alias("p"), F.explode(F.arrays_zip("histories", "counts")).alias("x")).select("p", F.col("x.histories").alias("history"), F.col("x.counts").alias("r"))
+    kept = F.when(F.col("r") > K, 1.0).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in d2[1:]]), F.least("r", F.lit(K)).cast("int"))) * F.col("r")
+    sums = each.groupBy("history").agg(F.sum("r").alias("c"), F.sum(kept).alias("kept"), F.sum("p").alias("p"))
+    return sums.select("history", "c", ((1 - F.col("kept") / (F.col("c") + 1)) / (1 - F.col("p"))).alias("weight"))
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def evaluate(parts: DataFrame, unigram: tuple[int, int, int, np.ndarray, float], d2: np.ndarray, frequent_weight: np.ndarray, start_weight: float) -> DataFrame:
+    """Scores of the documents of each block, from its stream (bucket null), the replies (blob) and answers (places, gain: log10 of a weight) to it."""
+    n_train, n_types, starts, d1, unknown = unigram
 
     def run(found: pa.Table) -> pa.Table:
-        rows = list(zip(found["kind"].to_pylist(), found["blob"].to_pylist(), strict=True))
-        ids = next(unpacked(b)[0] for k, b in rows if k == 2)
-        tokens, known = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        base, score = np.zeros(len(ids)), np.full(len(ids), -math.log10(starts + 1))
-        for kind, blob in rows:
-            if kind == 1:
-                doc, n, k, _, *by, b, s = unpacked(blob)
-                tokens[doc] += n.astype(np.int64)
-                known[doc] += k.astype(np.int64)
-                base[doc] += b[1] / b[0]
-                score[doc] += s[1] / s[0] + sum(x * math.log10(d2[j]) for j, x in enumerate(by, 1))
-            elif kind == 4:
-                doc, gain = unpacked(blob)
-                score[doc] += gain
-        missing = ids == NULL_ID
-        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=missing), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    return parts.groupBy("key").applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        bucket = found["bucket"].to_numpy().astype(float)
+        s = Stream(found["blob"][int(np.flatnonzero(np.isnan(bucket))[0])].as_py())
+        answered = ~found["gain"].is_null().to_numpy()
+        replied = np.flatnonzero(~np.isnan(bucket) & ~answered)
+        replied = replied[np.argsort(bucket[replied])]
+        got = [unpacked(found["blob"][int(i)].as_py()) for i in replied]
+        c = np.concatenate([x[0] for x in got]).astype(np.int64)
+        of = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
+        log_weight = np.zeros(s.n_words)
+        known, place = (np.concatenate([x[i] for x in got]).astype(np.int64) for i in (3, 4))
+        known += np.repeat(np.searchsorted(of, np.arange(len(got))), [len(x[3]) for x in got])
+        log_weight[known] = frequent_weight[place]
+        log_weight[s.start] = start_weight
+        # The pairs in the order in which they were dealt.
+        key, at = np.unique(s.key, return_inverse=True)
+        s.key = None
+        w, h = key // s.n_words, key % s.n_words
+        del key
+        is_split = np.zeros(s.n_words, bool)
+        is_split[known] = c[known] > n_train / 4096
+        alone, apart = np.flatnonzero(~is_split[w]), np.flatnonzero(is_split[w])
+        apart = apart[np.argsort(of[h[apart]], kind="stable")]
+        r = np.empty(len(w), np.int64)
+        r[alone], r[apart] = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+        backoff = log_weight[h]
+        asked = found.filter(pa.array(answered))
+        if asked.num_rows:
+            bucket_no = np.searchsorted(bucket[replied], asked["bucket"].to_numpy())
+            places = asked["places"].combine_chunks()
+            size = places.value_lengths().to_numpy()
+            place, bucket_no, gain = places.flatten().to_numpy(), np.repeat(bucket_no, size), np.repeat(asked["gain"].to_numpy(), size)
+            near, far = (np.array([len(x[i]) for x in got], np.int64) for i in (1, 2))
+            near_at, far_at = np.cumsum(near) - near, np.cumsum(far) - far
+            beyond = place - near[bucket_no]
+            pair = np.empty(len(place), np.int64)
+            pair[beyond < 0] = alone[(near_at[bucket_no] + place)[beyond < 0]]
+            pair[beyond >= 0] = apart[(far_at[bucket_no] + beyond)[beyond >= 0]]
+            backoff[pair] = gain
+        log_p = np.log10(np.where(c > 0, np.where(c <= K, d1[np.minimum(c, K)], 1.0) * c / (n_train + 1), unknown))
+        history_c = c.copy()
+        history_c[s.start] = starts
+        seen = np.where(r <= K, d2[np.minimum(r, K)], 1.0) * r
+        score = np.where(r > 0, np.log10(np.where(r > 0, seen, 1.0)) - np.log10(history_c[h] + 1.0), backoff + log_p[w])
+        base = np.log10(c + 0.1) - math.log10(n_train + 0.1 * (n_types + 1))
+        total = lambda x: np.add.reduceat(x, s.first)  # noqa: E731  every text has its end
+        made = [pa.array(s.ids, pa.int64(), mask=~s.has_id), pa.array(s.sizes), pa.array(total((c > 0)[s.word].astype(np.int64))), pa.array(total(base[s.word])), pa.array(total(score[at]))]
+        trim()
+        return pa.Table.from_arrays(made, [x.split()[0] for x in SCORES.split(", ")])
+
+    return parts.groupBy("block").applyInArrow(run, SCORES)
 
 
 def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     """Trains on the rows of docs (doc_id, text; others are ignored) whose fold is not 0 and scores all.
 
-    One row for each doc_id: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows that
-    share an id, null ids among them, are parts of one document, and their sums are added up. A null
-    or empty text is its end alone. Without training rows every token is unknown, with probability one
-    under the model. docs should be a written table, whose rows are the same when a task is repeated.
+    One row for each row, rows that share an id included: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    A null or empty text is its end alone; texts are read whole, and one longer than a block is a block of
+    its own. A null doc_id stays null and counts as the empty text in the fold. Without training rows every
+    token is unknown, with probability one under the model. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    train = fold(F.col("doc_id"), held_out_fold) != 0
-    unigrams = materialize(token_counts(docs, train), "katz-unigrams")
-    end = np.array([END], np.uint64).view(np.int64)[0].item()
-    stats = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2)], F.max(F.when(F.col("token") == end, F.col("c"))).alias("ends"), F.sum(F.when(F.col("c") > K, F.col("c"))).alias("often")).first()
+    in_blocks = materialize(blocks(docs, fold(F.col("doc_id"), held_out_fold) != 0), "katz-blocks")
+    unigrams = materialize(token_counts(in_blocks), "katz-unigrams")
+    release(spark)
+    stats = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2)], F.max(F.when(F.col("token") == END_LONG, F.col("c"))).alias("ends"), F.sum(F.when(F.col("c") > K, F.col("c"))).alias("often")).first()
     n, v, ends = stats["n"] or 0, stats["v"], stats["ends"] or 0
     seen = {r: stats[f"n{r}"] for r in range(1, K + 2)}
     d1 = discounts(seen)
@@ -366,19 +414,27 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     sizes = sorted(((r["level"], r["n"]) for r in unigrams.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 1024 levels
     upto = np.cumsum([k for _, k in sizes])
     levels = [at for (at, _), k in zip(sizes, upto, strict=True) if k <= FREQUENT]
-    top = unigrams.filter(level >= levels[-1] if levels else F.lit(False)).toPandas()  # at most FREQUENT rows
+    often = level >= levels[-1] if levels else F.lit(False)
+    top = unigrams.filter(often).toPandas()  # at most FREQUENT rows
     order = np.argsort(top["token"].to_numpy(np.int64).view(np.uint64))
     frequent, frequent_c = top["token"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.int64)[order]
-    split = frequent[frequent_c > n / 4096]
+    is_split = frequent_c > n / 4096
     buckets = max(LEAST_BUCKETS, int(n / (1 - 1 / held_out_fold)) // BUCKET_TOKENS)
-    dealt = occurrences(docs, train.alias("train"), frequent, split, buckets)
-    made = materialize(bucket_sums(dealt, frequent, frequent_c, split, (n, v, d1, unknown), buckets), "katz-buckets")
+    dealt = deal(in_blocks, frequent, frequent[is_split], buckets)
+    counted = materialize(count_pairs(dealt, frequent, frequent[is_split], frequent_c[is_split]), "katz-pairs", partition_by="kind")
     del dealt
-    release(spark)  # the occurrences are not needed any more
-    by_count = [unpacked(bytes(r["blob"]))[0] for r in made.filter("kind = 0").select("blob").collect()]  # one small row for each bucket
-    total = np.sum(by_count, axis=0) if by_count else np.zeros(K + 3)
-    d2 = discounts({r: int(total[r]) for r in range(1, K + 2)})
-    histories = materialize(history_weights(made.filter("kind = 3"), d2), "katz-histories")
-    parts = made.filter("kind IN (1, 2)").unionByName(histories.filter("kind = 4"))
-    each = document_scores(parts, d2, ends).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    release(spark)
+    tallies = {r["i"] + 1: r["n"] for r in counted.filter("kind = 'tallies'").select(F.posexplode("counts").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).collect()}  # K + 1 rows
+    d2 = discounts(tallies)
+    unigram = F.when(F.col("total") > K, 1.0).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in d1[1:]]), F.least("total", F.lit(K)).cast("int"))) * F.col("total") / F.lit(n + 1)
+    histories = materialize(history_weights(counted.filter("kind = 'pairs'").select("total", "histories", "counts"), unigram, d2), "katz-histories")
+    release(spark)
+    common = histories.filter(often | (F.col("history") == START_LONG)).toPandas()  # at most FREQUENT + 1 rows
+    logs = dict(zip(common["history"].tolist(), np.log10(common["weight"].to_numpy(float)).tolist(), strict=True))
+    frequent_weight = np.array([logs.get(x, 0.0) for x in frequent.view(np.int64).tolist()], float)
+    asks = counted.filter("kind = 'asks'").select("block", "bucket", F.col("word").alias("history"), F.col("counts").alias("places"))
+    answers = asks.join(histories.select("history", "weight"), "history", "left").select("block", "bucket", "places", F.coalesce(F.log10("weight"), F.lit(0.0)).alias("gain"))
+    parts = in_blocks.select("block", F.col("stream").alias("blob")).unionByName(counted.filter("kind = 'replies'").select("block", "bucket", "blob"), allowMissingColumns=True)
+    parts = parts.unionByName(answers, allowMissingColumns=True)
+    each = evaluate(parts.select("block", "bucket", "blob", "places", "gain"), (n, v, ends, d1, unknown), d2, frequent_weight, logs.get(START_LONG, 0.0))
     return each.select("doc_id", (fold(F.col("doc_id"), held_out_fold) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
