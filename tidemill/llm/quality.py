@@ -1,7 +1,7 @@
 """Quality rules: base rules and a hashed n-gram log-likelihood ratio, in DataFrame operations alone.
 
-Grams are runs of one and two words, each word represented by its last three characters, hashed
-into a fixed number of buckets. Two multinomials over the buckets are counted: one over the trusted
+Grams are whole words, and runs of two words that are each represented by their last three characters (pairs of whole
+words are too rare to be counted well), hashed into a fixed number of buckets. Two multinomials over the buckets are counted: one over the trusted
 documents, one over the raw corpus, which is every document. The trusted one is
 smoothed towards the raw one (a Dirichlet prior of `prior` grams), so without trusted rows the
 ratio is 0 throughout. A document's ratio is the mean of log p_trusted - log p_raw over its
@@ -17,7 +17,7 @@ from tidemill.llm.common import let, materialize, words
 
 BUCKETS = 1 << 15
 PRIOR = 10_000.0
-THRESHOLD = -0.5
+THRESHOLD = -0.2
 WINDOW = 8
 #: Trusted ids are broadcast; beyond this number they are joined by a shuffle.
 MOST_TRUSTED = 500_000
@@ -60,16 +60,16 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def grams(found: Column, buckets: int) -> Column:
-    """The buckets of a text's grams of order one and two: hashes of word endings, and of each with the next one's shifted by a bit."""
+    """The buckets of a text's grams: hashes of its words, and hashes of word endings, each with the next one's shifted by a bit."""
     bucket = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
-    ends = F.transform(found, lambda w: F.xxhash64(F.substring(w, -3, 3)))
     pair = lambda a, b: bucket(a.bitwiseXOR(F.shiftleft(b, 1)))
 
-    def both(e: Column) -> Column:
+    def pairs(e: Column) -> Column:
         n = F.greatest(F.size(e) - 1, F.lit(0))
-        return F.concat(F.transform(e, bucket), F.zip_with(F.slice(e, F.lit(1), n), F.slice(e, F.lit(2), n), pair))
+        return F.zip_with(F.slice(e, F.lit(1), n), F.slice(e, F.lit(2), n), pair)
 
-    return let(ends, both)
+    ends = F.transform(found, lambda w: F.xxhash64(F.substring(w, -3, 3)))
+    return F.concat(F.transform(found, lambda w: bucket(F.xxhash64(w))), let(ends, pairs))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: fl
 
 
 def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the base counts, base_failed, llr and kept; clashing columns of docs are replaced."""
+    """docs (doc_id, text, perhaps _row) with the base counts, base_failed, llr and kept."""
     model = ratios(docs, labels, buckets, prior)
     made = base_features(docs).withColumn("_m", model.scalar()).withColumn("_g", grams(F.col("_w"), buckets))
     total = let(F.col("_m"), lambda m: F.aggregate("_g", F.lit(0.0), lambda sofar, b: sofar + F.get(m, b)))
@@ -113,12 +113,14 @@ def judge(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """doc_id, the base counts, base_failed, llr and kept for every row of docs (doc_id, text; others are ignored).
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated windows. A null or
-    empty text has no words and fails. llr is null for a text without words. Repeated rows each
-    get a row, null ids stay (and are never trusted), empty tables give an empty result.
+    empty text has no words and fails. llr is null for a text without words. Texts are read whole, however long.
+    Repeated rows each get a row, null ids stay (and are never trusted), empty tables give an empty result.
     """
     return judged(docs.select("doc_id", "text"), labels, **params).select("doc_id", *COUNTS, "base_failed", "llr", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns."""
-    return judged(docs.select(*docs.columns), labels, **params).filter("kept").select(*docs.columns)
+    """The rows of docs that judge() keeps, repeated ones too, with all their columns as they were, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    made = judged(docs.select(row, "doc_id", "text"), labels, **params).filter("kept")
+    return made.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
