@@ -233,7 +233,7 @@ def test_quality_ratio(spark):
     grams = {}
     for i, text, *_ in good + bad:
         ends = [w[-3:] for w in text.split()]
-        grams[i] = [(a,) for a in ends] + list(zip(ends, ends[1:], strict=False))
+        grams[i] = [(w,) for w in text.split()] + list(zip(ends, ends[1:], strict=False))
         raw.update(grams[i])
         trusted.update(grams[i] if i < 60 else ())
     n, t = sum(raw.values()), sum(trusted.values())
@@ -257,6 +257,32 @@ def test_quality_without_rows_or_labels(spark):
     assert quality.keep(clashing(spark), labels(spark, [(None, 1, 0), (4, None, 0)])).columns == clashing(spark).columns
 
 
+TAKEN = [
+    "_w", "_g", "_m", "_t", "llr", "kept", "base_failed", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bucket", "_row", "_file", "_at", "_s", "_i", "_id", "_th", "_gone", "_kept", "set", "n", "sig", "keys", "key",
+    "root", "rep", "spans", "block", "position", "rank", "q", "before", "w", "slot", "_pos", "offset", "length", "sequence_id", "_metadata", "a.b",
+]
+
+
+def crowded(spark):
+    """Rows whose further columns are named like those of the operators; each value says whose it is."""
+    taken = [F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in TAKEN]
+    return docs(spark).select("*", *taken)
+
+
+def test_stages_keep_columns_as_they_are(spark):
+    table = crowded(spark)
+    kept = [f"`{c}`" for c in table.columns if c != "text"]
+    rows = Counter(map(str, table.select(*kept).collect()))
+    whole = Counter(map(str, table.collect()))
+    stages = {"quality": quality.keep(table, labels(spark)), "near": simhash.distinct_documents(table), "secrets": secrets.redact(table), "mixing": mixing.in_order(table)}
+    for name, made in stages.items():
+        got = made.collect()
+        assert made.columns == table.columns and got, name
+        assert not Counter(map(str, made.select(*kept).collect())) - rows, name
+        assert name == "secrets" or not Counter(map(str, got)) - whole, name
+    assert stages["secrets"].count() == stages["mixing"].count() == sum(rows.values())
+
+
 # 5 near duplicates
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_batches, materialize, texts
+from tidemill.llm.common import discard, map_batches, materialize, placed, texts
 from tidemill.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -225,8 +225,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dis
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Candidates share one of BANDS keys of BAND_ROWS least hashes: at similarity 0.8 all but (1 - 0.8^5)^25 = 5e-5 of the pairs do, above it fewer are missed.
 BANDS, BAND_ROWS = 25, 5
-#: Least hashes that two documents must share to be compared in full, when neither leads a key; at similarity 0.8, 100 are expected with a deviation of 4.5.
+#: Bands by which most copies are linked before the others are looked at.
+FIRST_BANDS = 3
+#: Least hashes that two documents must share to be compared in full, when neither stands for its group; at similarity 0.8, 100 are expected with a deviation of 4.5.
 LEAST_EQUAL = 75
+#: About as many members of a key as one task compares with those that are linked to others.
+KEY_BLOCK = 4096
 SHINGLE_BLOCK = 4096
 _MADE = np.random.default_rng(SEED)
 FACTORS = _MADE.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -248,7 +252,7 @@ def least_hashes(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _th (hash of the text), set (hash of the set of shingles), n (its size), sig (a byte of each least hash) and keys (one for each band)."""
+    """_file, _at, doc_id, set (hash of the set of shingles), n (its size), sig (a byte of each least hash) and keys (one for each band) for each row of docs (_file, _at, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +265,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sigs.append(least.astype(np.uint8).tobytes())
                 keys.append(np.array([xxhash.xxh64_intdigest(band.tobytes(), c) for c, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64))
             made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "_th", "set", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["_file", "_at", "doc_id", "set", "n", "sig", "keys"])
 
-    made = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), "text")
-    return map_batches(made, run, "doc_id long, _th long, set long, n long, sig binary, keys array<long>")
+    return map_batches(docs, run, "_file string, _at long, doc_id long, set long, n long, sig binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -277,18 +280,54 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("set", "text"), run, "set long, shingles array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets (set, shingles) whose Jaccard similarity is SIMILARITY or more, by all shingles."""
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+def similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is SIMILARITY or more, by all shingles of docs (_file, _at, text)."""
+    pairs = materialize(pairs, "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "rep._file", "rep._at"), "set")
+    found = materialize(shingle_sets(docs.join(wanted, ["_file", "_at"]).select("set", "text")), "near-shingles")
+    both = pairs.join(found.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= SIMILARITY).select("a", "b")
+    linked = materialize(both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= SIMILARITY).select("a", "b"), "near-links")
+    discard(found)
+    discard(pairs)
+    return linked
 
 
-def unlinked_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, set, n, sig, root) of one key that have different roots and may be similar; the least set of a key, which was compared with all, is left out."""
+def rooted(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets with root, the least set that links reach."""
+    return sets.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
-    def of(sets: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(1, len(sets) - 1):
+
+def first_pairs(sets: DataFrame) -> DataFrame:
+    """Each set with the least set of its key, in the first bands."""
+    members = sets.select("set", F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"))
+    lead = members.groupBy("key").agg(F.min("set").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return members.join(lead, "key").filter("set <> b").select(F.col("set").alias("a"), "b").distinct()
+
+
+def group_pairs(sets: DataFrame) -> DataFrame:
+    """Of the groups (sets of one root) that meet in a key, each one's least set there with the least of all."""
+    each = sets.select("set", "root", F.explode("keys").alias("key")).groupBy("key", "root").agg(F.min("set").alias("a"))
+    lead = each.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return each.join(lead, "key").filter("a <> b").select("a", "b").distinct()
+
+
+def unlinked_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (set, n, sig, keys, root) that share a key, have different roots and may be similar.
+
+    In each key all sets but those of the most frequent root are compared with all of other roots. Those of the
+    most frequent root are dealt over blocks, each of which the others go to.
+    """
+    members = sets.select("set", "n", "sig", "root", F.explode("keys").alias("key"))
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("size"))
+    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = mixed.select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.size") / KEY_BLOCK).alias("blocks"))
+    members = members.join(mixed, "key").withColumn("other", F.col("root") != F.col("top"))
+    block = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), "blocks")))
+    dealt = members.select("key", F.explode(block).alias("block"), "other", "set", "n", "sig", "root").repartition("key", "block").sortWithinPartitions("key", "block", F.desc("other"), "set")
+
+    def of(other: np.ndarray, sets: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(int(other.sum())):
             j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) * (1 - 1e-9)))
             j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_EQUAL]
             if len(j):
@@ -296,64 +335,56 @@ def unlinked_pairs(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        at = None
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, len(FACTORS))
-            yield from of(rows["set"].to_numpy(), rows["n"].to_numpy(), sig, rows["root"].to_numpy())
+            yield from of(*(rows[c].to_numpy() for c in ("other", "set", "n")), sig, rows["root"].to_numpy())
 
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for at, to in zip(edges[:-1], edges[1:], strict=True):
-                if to == at:
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(key)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b == a:
                     continue
-                if held and held[0].column(0)[0].as_py() != key[at]:
+                if held and at != (key[a], part[a]):
                     yield from out()
                     held = []
-                held.append(batch.slice(at, to - at))
+                at = (key[a], part[a])
+                held.append(batch.slice(a, b - a))
         if held:
             yield from out()
 
-    dealt = members.select("key", "set", "n", "sig", "root").repartition("key").sortWithinPartitions("key", "set")
-    return map_batches(dealt, run, "a long, b long").distinct()
+    made = map_batches(dealt, run, "a long, b long")
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """set and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, n, sig, keys).
+    """node and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, n, sig, keys).
 
-    Every set is compared in full with the least one of each of its keys, and then, where a key
-    still has sets that are not linked, so are those with each other.
+    Sets are compared in full with the least one of their key in the first bands, which links most copies; then groups that
+    still meet in a key, each by one of its sets; then all pairs of sets that share a key and are not linked by then.
     """
-    members = sets.select("set", "n", "sig", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("set").alias("lead"), F.count("*").alias("_all")).filter("_all > 1").drop("_all")
-    members = materialize(members.join(shared, "key"), "near-members")
-    wanted = members.select("set").distinct().join(sets.select("set", "rep.doc_id", "rep._th"), "set")
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    text = text.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_th"))).select("set", "text").dropDuplicates(["set"])
-    shingles = materialize(shingle_sets(text), "near-shingles")
-    links = materialize(similar(members.filter("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b")).distinct(), shingles), "near-links")
-    found = members.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    found = materialize(found, "near-roots")
-    mixed = found.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
-    more = materialize(similar(unlinked_pairs(found.join(mixed, "key", "left_semi")), shingles), "near-links")
-    return components(links.union(more)).withColumnRenamed("node", "set")
+    links = similar(first_pairs(sets), docs, sets)
+    links = links.union(similar(group_pairs(rooted(sets, links)), docs, sets))
+    return components(links.union(similar(unlinked_pairs(materialize(rooted(sets, links), "near-roots")), docs, sets)))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, any others) without near copies: of each group one stays.
+    """The rows of docs (doc_id, text, any others) without near copies: of each group one stays, with all its columns as they were.
 
     Two documents are near if the sets of their five-word shingles have a Jaccard similarity of SIMILARITY or
-    more, which is decided by all shingles; groups are what such links connect, of any size and number,
-    and the smallest doc_id stays. Documents with equal sets are merged first. Rows that agree in id
-    and text are one document; null ids come last in a group; texts without words are copies of each
-    other; an empty table stays empty.
+    more, which is decided by all shingles of their whole texts; groups are what such links connect, of any size and number,
+    and the smallest doc_id stays, of equal ids the first row. Documents with equal sets are merged first, so
+    repeated rows, equal texts and texts without words (null ones too) are copies of each other. Null ids come last in
+    a group. An empty table stays empty. Columns may have any names.
     """
-    made = materialize(signatures(docs), "near-signatures")
-    rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_th")
+    rows = placed(docs)
+    plain = rows.select("_file", "_at", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text"))
+    made = materialize(signatures(plain), "near-signatures")
+    rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_file", "_at")
     sets = materialize(made.groupBy("set").agg(F.min(rep).alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("keys").alias("keys")), "near-sets")
-    member = sets.join(near_links(docs, sets), "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("rep").alias("rep"))
-    member = member.select(F.col("rep.doc_id").alias("_kept"), F.col("rep._th").alias("_kept_th"))
-    kept = docs.withColumn("_th", F.xxhash64("text"))
-    kept = kept.join(member, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    linked = near_links(plain.select("_file", "_at", "text"), sets).withColumnRenamed("node", "set")
+    kept = sets.join(linked, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("rep").alias("rep")).select("rep._file", "rep._at")
+    return rows.join(kept, ["_file", "_at"], "left_semi").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
