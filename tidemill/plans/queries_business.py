@@ -104,10 +104,10 @@ def revenue_trend_direction(spark, sf):
 
 
 @query(f"""WITH {DAILY}, g AS (SELECT revenue, 100 * (revenue - lag(revenue, 7) OVER w) / lag(revenue, 7) OVER w AS a, 100 * (revenue - lag(revenue, 30) OVER w) / lag(revenue, 30) OVER w AS b FROM d WINDOW w AS (ORDER BY day))
-  SELECT round(avg(revenue), 4) AS avg_revenue, round(stddev(revenue), 4) AS stddev_revenue, round(min(revenue), 2) AS min_revenue, round(max(revenue), 2) AS max_revenue, round(avg(a), 4) AS avg_growth_7, round(avg(b), 4) AS avg_growth_30, count(*) AS days, round(stddev(revenue) / avg(revenue), 6) AS coefficient_of_variation FROM g""")
+  SELECT round(avg(revenue), 4) AS average_revenue, round(stddev(revenue), 4) AS revenue_volatility, round(min(revenue), 2) AS min_revenue, round(max(revenue), 2) AS max_revenue, round(avg(a), 4) AS avg_weekly_growth_rate, round(avg(b), 4) AS avg_monthly_growth_rate, count(*) AS data_points, round(stddev(revenue) / avg(revenue), 6) AS coefficient_of_variation FROM g""")
 def revenue_trend_statistics(spark, sf):
     made = revenue.trend_statistics(revenue.daily(rev(spark, sf)))
-    return rounded(rounded(rounded(made, "avg_revenue", "stddev_revenue", "avg_growth_7", "avg_growth_30"), "min_revenue", "max_revenue", digits=2), "coefficient_of_variation", digits=6)
+    return rounded(rounded(rounded(made, "average_revenue", "revenue_volatility", "avg_weekly_growth_rate", "avg_monthly_growth_rate"), "min_revenue", "max_revenue", digits=2), "coefficient_of_variation", digits=6)
 
 
 @query(f"""WITH {LINES}, g AS (SELECT brand, sum(revenue) AS revenue, sum(revenue - coalesce(uc * quantity, revenue * 0.65)) AS gm FROM lines LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice * 0.7 END AS uc FROM part) ON product_id = p_partkey GROUP BY 1),
@@ -136,10 +136,12 @@ def product_overall_performance(spark, sf):
     return rounded(rounded(product.overall(lines(spark, sf)), "avg_price", "revenue_per_product"), "total_revenue", digits=2)
 
 
-@query(f"""WITH {LINES} SELECT product_id, round(sum(revenue), 2) AS total_revenue, sum(quantity) AS units_sold, count(*) AS transactions, count(DISTINCT customer_id) AS customers, round(avg(price), 7) AS avg_price, round(min(price), 7) AS min_price, round(max(price), 7) AS max_price,
-  round(stddev(price), 7) AS stddev_price, min(category) AS category, min(brand) AS brand, round(sum(revenue) / count(DISTINCT customer_id), 7) AS revenue_per_customer, count(DISTINCT customer_id) / 1000 AS market_penetration FROM lines GROUP BY 1""")
+@query(f"""WITH {LINES} SELECT product_id, round(sum(revenue), 2) AS total_revenue, sum(quantity) AS total_units_sold, count(*) AS transaction_count, count(DISTINCT customer_id) AS unique_customers, round(avg(price), 7) AS avg_selling_price, round(min(price), 7) AS min_price, round(max(price), 7) AS max_price,
+  round(stddev(price), 7) AS price_volatility, min(category) AS product_category, min(brand) AS brand, round(sum(revenue) / count(DISTINCT customer_id), 7) AS avg_revenue_per_customer, round(sum(quantity) / count(*), 7) AS avg_units_per_transaction,
+  round(count(DISTINCT customer_id) / (SELECT count(DISTINCT customer_id) FROM lines), 9) AS customer_penetration_rate FROM lines GROUP BY 1""")
 def product_sales_metrics(spark, sf):
-    return rounded(rounded(product.sales(lines(spark, sf)), "avg_price", "min_price", "max_price", "stddev_price", "revenue_per_customer", digits=7), "total_revenue", digits=2)
+    made = rounded(product.sales(lines(spark, sf)), "avg_selling_price", "min_price", "max_price", "price_volatility", "avg_revenue_per_customer", "avg_units_per_transaction", digits=7)
+    return rounded(rounded(made, "customer_penetration_rate", digits=9), "total_revenue", digits=2)
 
 
 def attribute_sql(name):
@@ -187,8 +189,8 @@ def product_interactions(spark, sf):
     return rounded(product.frequent_interactions(product.interactions(lines(spark, sf)), 20, 20), "rating", digits=6)
 
 
-@query(f"""WITH {INTER}, k AS (SELECT * FROM x WHERE customer_id IN (SELECT customer_id FROM x GROUP BY 1 HAVING count(*) <= 500)), n AS (SELECT product_id, sqrt(sum(rating * rating)) AS norm FROM x GROUP BY 1),
-  p AS (SELECT a.product_id AS product_a, b.product_id AS product_b, sum(a.rating * b.rating) AS dot, count(*) AS common FROM k a JOIN k b ON a.customer_id = b.customer_id AND a.product_id < b.product_id GROUP BY 1, 2 HAVING count(*) >= 4)
+@query(f"""WITH {INTER}, n AS (SELECT product_id, sqrt(sum(rating * rating)) AS norm FROM x GROUP BY 1),
+  p AS (SELECT a.product_id AS product_a, b.product_id AS product_b, sum(a.rating * b.rating) AS dot, count(*) AS common FROM x a JOIN x b ON a.customer_id = b.customer_id AND a.product_id < b.product_id GROUP BY 1, 2 HAVING count(*) >= 4)
   SELECT product_a, product_b, common, round(dot / (na.norm * nb.norm), 6) AS similarity FROM p JOIN n na ON na.product_id = product_a JOIN n nb ON nb.product_id = product_b""")
 def product_item_similarity(spark, sf):
     return rounded(product.item_similarity(product.interactions(lines(spark, sf)), 4), "similarity", digits=6)
@@ -243,32 +245,33 @@ def product_recommendations(spark, sf):
 
 
 STAGES = f"""{LINES}, d AS (SELECT product_id, CAST(ts AS DATE) AS day, sum(quantity) AS units FROM lines GROUP BY 1, 2), t AS (SELECT *, lag(units, 7) OVER w AS b FROM d WINDOW w AS (PARTITION BY product_id ORDER BY day)),
-  l AS (SELECT product_id, avg((units - b) / b) AS avg_growth, stddev((units - b) / b) AS vol, avg(units) AS avg_daily_units, count(*) AS days_active, max(day) AS last_day FROM t GROUP BY 1),
-  st AS (SELECT *, CASE WHEN avg_growth > 0.15 THEN 'growth' WHEN avg_growth < -0.10 THEN 'decline' WHEN vol < 0.05 THEN 'maturity' ELSE 'introduction' END AS stage FROM l)"""
+  l AS (SELECT product_id, avg((units - b) / b) AS avg_growth_rate, stddev((units - b) / b) AS vol, avg(units) AS avg_daily_sales, count(*) AS days_active FROM t GROUP BY 1),
+  st AS (SELECT *, CASE WHEN avg_growth_rate > 0.15 THEN 'growth' WHEN avg_growth_rate < -0.10 THEN 'decline' WHEN vol < 0.05 THEN 'maturity' ELSE 'introduction' END AS lifecycle_stage FROM l)"""
 
 
 def staged(spark, sf):
     return product.lifecycle(product.trends(product.series(lines(spark, sf))))
 
 
-@query(f"WITH {STAGES} SELECT product_id, stage, round(avg_growth, 6) AS avg_growth, round(avg_daily_units, 4) AS avg_daily_units, days_active, CASE stage WHEN 'growth' THEN 100 WHEN 'maturity' THEN 80 WHEN 'introduction' THEN 60 ELSE 20 END AS performance_score FROM st")
+@query(f"""WITH {STAGES} SELECT product_id, lifecycle_stage, round(avg_growth_rate, 6) AS avg_growth_rate, round(avg_daily_sales, 4) AS avg_daily_sales, days_active,
+  round(CASE lifecycle_stage WHEN 'growth' THEN avg_growth_rate * 10 WHEN 'maturity' THEN avg_daily_sales / 100 WHEN 'decline' THEN -avg_growth_rate * 5 ELSE 5 END, 6) AS stage_performance_score FROM st""")
 def product_lifecycle_stages(spark, sf):
-    made = product.stage_scores(staged(spark, sf))
-    return made.select("product_id", "stage", F.round("avg_growth", 6).alias("avg_growth"), F.round("avg_daily_units", 4).alias("avg_daily_units"), "days_active", "performance_score")
+    made = product.stage_scores(staged(spark, sf)).select("product_id", "lifecycle_stage", "avg_growth_rate", "avg_daily_sales", "days_active", "stage_performance_score")
+    return rounded(rounded(made, "avg_growth_rate", "stage_performance_score", digits=6), "avg_daily_sales")
 
 
-@query(f"WITH {STAGES} SELECT stage, count(*) AS products, round(avg(avg_growth), 6) AS avg_growth, round(avg(avg_daily_units), 4) AS avg_daily_units, round(100 * count(*) / sum(count(*)) OVER (), 4) AS share_pct FROM st GROUP BY 1")
+@query(f"WITH {STAGES} SELECT lifecycle_stage, count(*) AS product_count, round(avg(avg_growth_rate), 6) AS avg_stage_growth_rate, round(avg(avg_daily_sales), 4) AS avg_stage_sales, round(100 * count(*) / sum(count(*)) OVER (), 4) AS percentage FROM st GROUP BY 1")
 def product_stage_distribution(spark, sf):
-    return rounded(rounded(product.stage_distribution(staged(spark, sf)), "avg_growth", digits=6), "avg_daily_units", "share_pct")
+    return rounded(rounded(product.stage_distribution(staged(spark, sf)), "avg_stage_growth_rate", digits=6), "avg_stage_sales", "percentage")
 
 
-@query(f"WITH {STAGES} SELECT product_id, 'risk' AS kind FROM st WHERE stage = 'decline' OR stage = 'maturity' AND avg_growth < 0 UNION ALL SELECT product_id, 'opportunity' FROM st WHERE stage = 'introduction' OR avg_growth > 0.2")
+@query(f"WITH {STAGES} SELECT product_id, 'risk' AS kind FROM st WHERE lifecycle_stage = 'decline' OR lifecycle_stage = 'maturity' AND avg_growth_rate < 0 UNION ALL SELECT product_id, 'opportunity' FROM st WHERE lifecycle_stage = 'introduction' OR lifecycle_stage = 'growth' AND avg_growth_rate > 0.2")
 def product_risks_and_opportunities(spark, sf):
     made = staged(spark, sf)
     return product.at_risk(made).select("product_id", F.lit("risk").alias("kind")).unionByName(product.growth_opportunities(made).select("product_id", F.lit("opportunity").alias("kind")))
 
 
-@query(f"WITH {STAGES}, la AS (SELECT p_partkey AS product_id, DATE '1995-01-01' + CAST(p_size AS INTEGER) AS launch_date FROM part WHERE p_partkey % 2 = 0) SELECT product_id, stage, CAST(date_diff('day', launch_date, DATE '{AS_OF}') AS INTEGER) AS days_since_launch FROM st LEFT JOIN la USING (product_id)")
+@query(f"WITH {STAGES}, la AS (SELECT p_partkey AS product_id, DATE '1995-01-01' + CAST(p_size AS INTEGER) AS launch_date FROM part WHERE p_partkey % 2 = 0) SELECT product_id, lifecycle_stage, CAST(date_diff('day', launch_date, DATE '{AS_OF}') AS INTEGER) AS days_since_launch FROM st LEFT JOIN la USING (product_id)")
 def product_launch_performance(spark, sf):
     launched = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")).alias("launch_date"))
-    return product.launches(staged(spark, sf), launched, AS_OF).select("product_id", "stage", "days_since_launch")
+    return product.launches(staged(spark, sf), launched, AS_OF).select("product_id", "lifecycle_stage", "days_since_launch")

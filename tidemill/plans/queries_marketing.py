@@ -11,7 +11,7 @@ from tidemill.operators import attribution as at
 from tidemill.plans.bindings import BEHAVIOR, behavior
 from tidemill.plans.registry import query
 
-MARKET = f"""{BEHAVIOR}, touches AS (SELECT event_id AS touchpoint_id, user_id, channel, 'camp_' || CAST(k % 4 AS VARCHAR) AS campaign_id, 'cr_' || CAST(k % 3 AS VARCHAR) AS creative_id, ts, event_type FROM behavior WHERE event_type IN ('view', 'click')),
+MARKET = f"""{BEHAVIOR}, touches AS (SELECT event_id AS touchpoint_id, user_id, channel, 'camp_' || CAST(k % 4 AS VARCHAR) AS campaign_id, 'cr_' || CAST(k % 3 AS VARCHAR) AS creative_id, ts, event_type, value AS engagement_score FROM behavior WHERE event_type IN ('view', 'click')),
   conversions AS (SELECT event_id AS conversion_id, user_id, ts AS conversion_ts, value AS conversion_value, channel, 'camp_' || CAST(k % 4 AS VARCHAR) AS campaign_id, 'cr_' || CAST(k % 3 AS VARCHAR) AS creative_id FROM behavior WHERE event_type = 'purchase'),
   spend AS (SELECT ts AS spend_date, 'camp_' || CAST(k % 4 AS VARCHAR) AS campaign_id, channel, value * 0.4 AS spend_amount FROM behavior WHERE event_type = 'error'),
   acq AS (SELECT user_id, ts AS acquisition_ts, channel AS acquisition_channel, value AS first_purchase_value FROM behavior WHERE event_type = 'signup')"""
@@ -26,7 +26,7 @@ WEIGHTS = {
 
 def market(spark, sf):
     b = behavior(spark, sf).withColumns({"campaign_id": F.concat(F.lit("camp_"), (F.col("k") % 4).cast("string")), "creative_id": F.concat(F.lit("cr_"), (F.col("k") % 3).cast("string"))})
-    touches = b.filter(F.col("event_type").isin("view", "click")).select(F.col("event_id").alias("touchpoint_id"), "user_id", "channel", "campaign_id", "creative_id", "ts", "event_type")
+    touches = b.filter(F.col("event_type").isin("view", "click")).select(F.col("event_id").alias("touchpoint_id"), "user_id", "channel", "campaign_id", "creative_id", "ts", "event_type", F.col("value").alias("engagement_score"))
     conversions = b.filter("event_type = 'purchase'").select(F.col("event_id").alias("conversion_id"), "user_id", F.col("ts").alias("conversion_ts"), F.col("value").alias("conversion_value"), "channel", "campaign_id", "creative_id")
     return touches, conversions
 
@@ -138,16 +138,18 @@ def campaign_metrics(spark, sf):
     return r(r(camp(spark, sf), "conversion_rate", "roas", "cost_per_conversion"), "revenue", digits=4).drop("campaign_spend")
 
 
-@query(f"""WITH {CAMP}, e AS (SELECT campaign_id, sum(revenue) AS revenue, CAST(sum(conversions) AS BIGINT) AS conversions, CAST(max(campaign_spend) AS DOUBLE) AS spend FROM m GROUP BY 1) SELECT campaign_id, round(revenue, 4) AS revenue, conversions, spend, round(revenue / spend, 6) AS roas,
-  CAST(row_number() OVER (ORDER BY revenue / spend DESC, campaign_id) AS INTEGER) AS roas_rank, CASE WHEN revenue / spend >= 4 THEN 'High Performer' WHEN revenue / spend >= 2 THEN 'Good Performer' WHEN revenue / spend >= 1 THEN 'Break Even' ELSE 'Underperformer' END AS grade FROM e""")
+@query(f"""WITH {CAMP}, e AS (SELECT campaign_id, CAST(max(campaign_spend) AS DOUBLE) AS s, sum(revenue) AS v, CAST(sum(conversions) AS BIGINT) AS n, CAST(sum(touches) AS BIGINT) AS t FROM m GROUP BY 1)
+  SELECT campaign_id, s AS campaign_spend, round(v, 4) AS total_conversion_value, n AS total_conversions, t AS total_touchpoints, round(v / s, 6) AS return_on_ad_spend, round((n / nullif(t, 0)) * (v / s) / nullif(s / nullif(n, 0), 0), 9) AS efficiency_score,
+  CASE WHEN v / s >= 4 THEN 'High Performer' WHEN v / s >= 2 THEN 'Good Performer' WHEN v / s >= 1 THEN 'Break Even' ELSE 'Underperformer' END AS effectiveness_category, CAST(row_number() OVER (ORDER BY v / s DESC, campaign_id) AS INTEGER) AS roas_rank FROM e""")
 def campaign_effectiveness(spark, sf):
-    return r(r(at.effectiveness(camp(spark, sf)), "roas"), "revenue", digits=4)
+    return r(r(r(at.effectiveness(camp(spark, sf)), "return_on_ad_spend"), "efficiency_score", digits=9), "total_conversion_value", digits=4)
 
 
-@query(f"""WITH {MARKET}, t AS (SELECT channel, count(*) AS touches, count(DISTINCT user_id) AS users FROM touches GROUP BY 1), v AS (SELECT channel, count(*) AS conversions, sum(conversion_value) AS revenue FROM conversions GROUP BY 1)
-  SELECT channel, coalesce(touches, 0) AS touches, coalesce(users, 0) AS users, coalesce(conversions, 0) AS conversions, round(coalesce(revenue, 0), 4) AS revenue, round(conversions / touches, 6) AS conversion_rate, round(revenue / users, 6) AS revenue_per_user FROM t FULL JOIN v USING (channel)""")
+@query(f"""WITH {MARKET}, t AS (SELECT channel, count(*) AS n, count(DISTINCT user_id) AS users, avg(engagement_score) AS engagement FROM touches GROUP BY 1), v AS (SELECT channel, count(*) AS conversions, sum(conversion_value) AS revenue, avg(conversion_value) AS mean FROM conversions GROUP BY 1)
+  SELECT channel, coalesce(n, 0) AS total_touchpoints, coalesce(users, 0) AS unique_users, round(coalesce(engagement, 0), 6) AS avg_engagement_score, coalesce(conversions, 0) AS total_conversions, round(coalesce(revenue, 0), 4) AS total_revenue, round(coalesce(mean, 0), 6) AS avg_order_value,
+  round(coalesce(conversions, 0) / nullif(users, 0), 6) AS conversion_rate, round(coalesce(revenue, 0) / nullif(users, 0), 6) AS revenue_per_user FROM t FULL JOIN v USING (channel)""")
 def channel_performance(spark, sf):
-    return r(r(at.channel_performance(*market(spark, sf)), "conversion_rate", "revenue_per_user"), "revenue", digits=4)
+    return r(r(at.channel_performance(*market(spark, sf)), "avg_engagement_score", "avg_order_value", "conversion_rate", "revenue_per_user"), "total_revenue", digits=4)
 
 
 @query(f"""WITH {MARKET}, t AS (SELECT creative_id, channel, count(*) AS touches FROM touches GROUP BY 1, 2), v AS (SELECT creative_id, channel, count(*) AS conversions, sum(conversion_value) AS revenue FROM conversions GROUP BY 1, 2)
@@ -157,9 +159,9 @@ def creative_performance(spark, sf):
 
 
 @query(f"""WITH {CAMP}, e AS (SELECT campaign_id, CAST(max(campaign_spend) AS DOUBLE) AS spend, sum(revenue) AS revenue FROM m GROUP BY 1), s AS (SELECT *, spend / sum(spend) OVER () AS a, revenue / sum(revenue) OVER () AS b FROM e)
-  SELECT campaign_id, spend, round(revenue, 4) AS revenue, round(a, 6) AS spend_share, round(b, 6) AS revenue_share, round(b / a, 6) AS efficiency_ratio, CASE WHEN b / a > 1.2 THEN 'Increase' WHEN b / a < 0.8 THEN 'Decrease' ELSE 'Maintain' END AS recommendation FROM s""")
+  SELECT campaign_id, spend AS campaign_spend, round(revenue, 4) AS total_conversion_value, round(a, 6) AS spend_share, round(b, 6) AS revenue_share, round(b / a, 6) AS efficiency_ratio, CASE WHEN b / a > 1.2 THEN 'Increase Budget' WHEN b / a < 0.8 THEN 'Decrease Budget' ELSE 'Maintain Budget' END AS budget_recommendation FROM s""")
 def budget_efficiency(spark, sf):
-    return r(r(at.budget_efficiency(camp(spark, sf)), "spend_share", "revenue_share", "efficiency_ratio"), "revenue", digits=4)
+    return r(r(at.budget_efficiency(camp(spark, sf)), "spend_share", "revenue_share", "efficiency_ratio"), "total_conversion_value", digits=4)
 
 
 @query(f"""WITH {CAMP}, l AS (SELECT campaign_id, period, revenue / CAST(campaign_spend AS DOUBLE) AS roas, lag(revenue / CAST(campaign_spend AS DOUBLE)) OVER (PARTITION BY campaign_id ORDER BY period) AS b FROM m), c AS (SELECT *, (roas - b) / nullif(b, 0) AS ch FROM l)
@@ -241,9 +243,9 @@ def roi_trends(spark, sf):
     return r(at.roi_trends(returns(spark, sf)), "roi", "roi_change").select("channel", "period", "roi", "roi_change")
 
 
-@query(f"WITH {ROI}, g AS (SELECT channel, campaign_id, (sum(revenue) - sum(spend)) / sum(spend) AS roi FROM m GROUP BY 1, 2) SELECT channel, campaign_id, round(roi, 6) AS roi, CAST(ntile(10) OVER (ORDER BY roi DESC NULLS LAST, channel, campaign_id) AS INTEGER) AS decile FROM g")
+@query(f"WITH {ROI}, g AS (SELECT channel, campaign_id, (sum(revenue) - sum(spend)) / sum(spend) AS roi FROM m GROUP BY 1, 2) SELECT channel, campaign_id, round(roi, 6) AS roi, CAST(ntile(10) OVER w AS INTEGER) AS decile, CASE WHEN ntile(10) OVER w <= 2 THEN 'Top Performer' WHEN ntile(10) OVER w <= 5 THEN 'Above Average' WHEN ntile(10) OVER w <= 8 THEN 'Average' ELSE 'Below Average' END AS performance_tier FROM g WINDOW w AS (ORDER BY roi DESC NULLS LAST, channel, campaign_id)")
 def roi_efficiency_tiers(spark, sf):
-    return r(at.efficiency_tiers(returns(spark, sf)), "roi").select("channel", "campaign_id", "roi", "decile")
+    return r(at.efficiency_tiers(returns(spark, sf)), "roi").select("channel", "campaign_id", "roi", "decile", "performance_tier")
 
 
 @query(f"""WITH {ROI}, g AS (SELECT channel, sum(spend) AS spend, greatest((sum(revenue) - sum(spend)) / sum(spend), 0) AS x FROM m GROUP BY 1), h AS (SELECT channel, spend / sum(spend) OVER () AS a, coalesce(x / nullif(sum(x) OVER (), 0), spend / sum(spend) OVER ()) AS b FROM g)
