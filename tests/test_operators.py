@@ -243,3 +243,13 @@ def test_affinity_and_cross_sell_are_of_whole_products(spark, sf):
                 cross[a, b] += share > 0.1
     assert {(r["product_a"], r["product_b"]): r["max_confidence"] for r in QUERIES["product_affinity"](spark, sf).collect()} == pytest.approx(affinity)
     assert Counter((r["product"], r["recommended"]) for r in QUERIES["product_cross_sell"](spark, sf).collect()) == +cross
+
+
+def test_ranges_of_equal_values_are_cut(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id")).alias("v"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("few"))
+    for name, share in (("v", 0.9), ("few", 0.25)):  # nine in ten are equal; a quarter is null
+        made = ranking.ranged(rows, F.col(name), "id")
+        assert share * 20_000 > 10 * max(r["count"] for r in made.groupBy("_range").count().collect())
+        got = [r["id"] for r in ranking.with_row_number(rows, "n", F.col(name), "id").orderBy("n").collect()]
+        want = sorted(range(20_000), key=lambda i: ((1 if i % 10 else i), i) if name == "v" else ((i if i % 4 else -1), i))
+        assert got == want

@@ -1,8 +1,9 @@
 """Row numbers, ranks, tiles and running sums over a whole table without sorting it in one task.
 
 Rows are put into value ranges whose limits are approximate quantiles; where the limits lie
-only decides how even the ranges are. Each range is numbered on its own, and starts at the total of the
-ranges before it, which is a table of at most `parts` rows.
+only decides how even the ranges are. A value that many rows share fills several limits; its rows are cut further, by the
+tie-breaking id, where that is a number. Each range is numbered on its own, and starts at the total of the
+ranges before it. As many ranges as shuffle partitions are made, 64 to 256, so tables of ranges stay small.
 """
 
 from __future__ import annotations
@@ -10,22 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PARTS = 64
+LEAST_PARTS, MOST_PARTS = 64, 256
 
 
-def ranged(df: DataFrame, value: Column, weight: Column | None = None, descending: bool = False, parts: int = PARTS) -> DataFrame:
-    """df with _v, the value to order by, _range, _before (rows in the ranges before), _total, and _sum_before, _sum_total of weight."""
-    df = df.withColumn("_v", -value.cast("double") if descending else value.cast("double"))
+def parts_of(df: DataFrame) -> int:
+    return min(MOST_PARTS, max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def rough(v: Column) -> Column:
+    """In single precision: a sum that comes out another way in its last bits is still in the same range."""
+    return v.cast("float").cast("double")
+
+
+def limits(df: DataFrame, values: list[Column], tie: str, parts: int) -> Column:
+    """One struct: the limits of each of the values, and the least and greatest tie where that is a number."""
     steps = [i / parts for i in range(1, parts)]
-    # In single precision: a sum that comes out another way in its last bits is still in the same range.
-    rough = F.col("_v").cast("float").cast("double")
-    limits = df.agg(F.percentile_approx(rough, steps, 1000)).scalar()
-    df = df.withColumn("_limits", F.coalesce(limits, F.array().cast("array<double>")))
-    df = df.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_limits", lambda x: x < rough)))).drop("_limits")
+    found = [F.coalesce(F.percentile_approx(rough(v), steps, 16 * parts), F.array().cast("array<double>")) for v in values]
+    ends = [f(F.col(tie)).cast("double") if isinstance(df.schema[tie].dataType, T.NumericType) else F.lit(0.0) for f in (F.min, F.max)]
+    return df.agg(F.struct(F.array(*found).alias("limits"), ends[0].alias("low"), ends[1].alias("high"))).scalar()
+
+
+def place(df: DataFrame, v: Column, tie: str, at: int, parts: int) -> Column:
+    """The number of a row's range, by column `_limits`; it never falls in the order of (v, tie), nulls first."""
+    found = F.get("_limits.limits", F.lit(at))
+    numeric = isinstance(df.schema[tie].dataType, T.NumericType)
+    cut = F.floor(F.try_divide(F.col(tie).cast("double") - F.col("_limits.low"), F.col("_limits.high") - F.col("_limits.low")) * (parts - 1)) if numeric else F.lit(0)
+    cut = F.coalesce(cut, F.lit(0)).cast("long")
+    r = rough(v)
+    below, equal = F.size(F.filter(found, lambda x: x < r)), F.size(F.filter(found, lambda x: x == r))
+    inside = F.when((equal > 1) & (v == r), cut + 1).when((equal > 1) & (v > r), F.lit(parts + 1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(v.isNull(), cut - (parts + 2)).otherwise(below * (parts + 2) + inside)
+
+
+def number(value: Column, descending: bool) -> Column:
+    return -value.cast("double") if descending else value.cast("double")
+
+
+def ranged(df: DataFrame, value: Column, tie: str, weight: Column | None = None, descending: bool = False) -> DataFrame:
+    """df with _v, the value to order by, _range, _before (rows in the ranges before), _total, and _sum_before, _sum_total of weight.
+
+    _same: in a range of rows that all have one value, and null for others, the rows before that value.
+    """
+    parts = parts_of(df)
+    df = df.withColumn("_v", number(value, descending))
+    df = df.withColumn("_limits", limits(df, [F.col("_v")], tie, parts))
+    df = df.withColumn("_range", place(df, F.col("_v"), tie, 0, parts)).drop("_limits")
     weight = F.lit(0.0) if weight is None else weight.cast("double")
     sizes = df.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(weight).alias("_s"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most parts + 1 rows
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     sizes = sizes.select(
         "_range",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
@@ -33,40 +68,32 @@ def ranged(df: DataFrame, value: Column, weight: Column | None = None, descendin
         F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_sum_before"),
         F.sum("_s").over(W.partitionBy()).alias("_sum_total"),
     )
+    one_value = (F.col("_range") < 0) | F.pmod("_range", F.lit(parts + 2)).between(1, parts)
+    sizes = sizes.withColumn("_same", F.when(one_value, F.min("_before").over(W.partitionBy(F.floor(F.col("_range") / (parts + 2)), one_value))))
     return df.join(F.broadcast(sizes), "_range")
 
 
-HELPERS = ("_v", "_range", "_before", "_total", "_sum_before", "_sum_total")
-
-
-def below(value: Column):
-    """The test for limits below a value."""
-    return lambda limit: limit < value
+HELPERS = ("_v", "_range", "_before", "_total", "_sum_before", "_sum_total", "_same")
 
 
 def with_row_number(df: DataFrame, name: str, value: Column, tie: str, descending: bool = False) -> DataFrame:
     """name: 1, 2, ... in the order of (value, tie), nulls first; tie should be unique."""
-    made = ranged(df, value, descending=descending)
+    made = ranged(df, value, tie, descending=descending)
     return made.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy("_v", tie)) + F.col("_before")).drop(*HELPERS)
 
 
-def with_ntiles(df: DataFrame, tiles: int, tie: str, values: dict[str, tuple[Column, bool]], parts: int = PARTS) -> DataFrame:
+def with_ntiles(df: DataFrame, tiles: int, tie: str, values: dict[str, tuple[Column, bool]]) -> DataFrame:
     """Several columns of tiles, name: (value, descending), as ntile(tiles) over the order of (value, tie).
 
     The limits of all columns are one aggregate and the sizes of all ranges another, so df is
     read three times, however many columns there are.
     """
-    names = list(values)
-    df = df.withColumns({f"_v{i}": -v.cast("double") if down else v.cast("double") for i, (v, down) in enumerate(values.values())})
-    rough = [F.col(f"_v{i}").cast("float").cast("double") for i in range(len(names))]
-    steps = [i / parts for i in range(1, parts)]
-    limits = df.agg(F.array(*[F.coalesce(F.percentile_approx(x, steps, 1000), F.array().cast("array<double>")) for x in rough])).scalar()
-    df = df.withColumn("_limits", limits)
-    for i, x in enumerate(rough):
-        df = df.withColumn(f"_r{i}", F.when(x.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.get("_limits", F.lit(i)), below(x)))))
-    df = df.drop("_limits")
+    names, parts = list(values), parts_of(df)
+    df = df.withColumns({f"_v{i}": number(v, down) for i, (v, down) in enumerate(values.values())})
+    df = df.withColumn("_limits", limits(df, [F.col(f"_v{i}") for i in range(len(names))], tie, parts))
+    df = df.withColumns({f"_r{i}": place(df, F.col(f"_v{i}"), tie, i, parts) for i in range(len(names))}).drop("_limits")
     each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_r{i}").alias("r")) for i in range(len(names))])).alias("x")).groupBy("x.c", "x.r").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("c").orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # at most parts + 1 rows a column
+    upto = W.partitionBy("c").orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # one row for each range of a column
     each = each.select("c", "r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("c")).alias("total"))
     for i, name in enumerate(names):
         sizes = each.filter(F.col("c") == i).select(F.col("r").alias(f"_r{i}"), F.col("before").alias("_before"), F.col("total").alias("_total"))
@@ -79,15 +106,16 @@ def with_ntiles(df: DataFrame, tiles: int, tie: str, values: dict[str, tuple[Col
 
 
 def with_percent_rank(df: DataFrame, name: str, value: Column, descending: bool = False) -> DataFrame:
-    """name: (rank - 1) / (rows - 1), 0 in a table of one row. Equal values lie in one range, so its ranks need no more."""
-    made = ranged(df, value, descending=descending)
-    rank = F.rank().over(W.partitionBy("_range").orderBy("_v")) + F.col("_before") - 1
-    return made.withColumn(name, F.coalesce(F.try_divide(rank.cast("double"), (F.col("_total") - 1).cast("double")), F.lit(0.0))).drop(*HELPERS)
+    """name: (rank - 1) / (rows - 1), 0 in a table of one row. The rows of a frequent value are dealt by a hash, as they all have one rank."""
+    exact = [f.name for f in df.schema if not isinstance(f.dataType, T.DoubleType | T.FloatType | T.MapType)]
+    made = ranged(df.withColumn("_tie", F.xxhash64(*exact)), value, "_tie", descending=descending)
+    rank = F.coalesce("_same", F.rank().over(W.partitionBy("_range").orderBy("_v")) + F.col("_before") - 1)
+    return made.withColumn(name, F.coalesce(F.try_divide(rank.cast("double"), (F.col("_total") - 1).cast("double")), F.lit(0.0))).drop("_tie", *HELPERS)
 
 
 def with_share(df: DataFrame, value: Column, tie: str) -> DataFrame:
     """row_rank, cumulative, total of value in descending order of it, ties one after the other."""
-    made = ranged(df, value, weight=value, descending=True)
+    made = ranged(df, value, tie, weight=value, descending=True)
     w = W.partitionBy("_range").orderBy("_v", tie)
     made = made.withColumns(
         {
