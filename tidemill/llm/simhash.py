@@ -227,9 +227,7 @@ NEAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
 #: Bands by which most copies are linked before the others are looked at.
 FIRST_BANDS = 3
-#: Least hashes that two documents must share to be compared in full, when neither stands for its group; at similarity 0.8, 100 are expected with a deviation of 4.5.
-LEAST_EQUAL = 75
-#: About as many members of a key as one task compares with those that are linked to others.
+#: About as many members of a key as a task has on each side of its comparisons.
 KEY_BLOCK = 4096
 SHINGLE_BLOCK = 4096
 _MADE = np.random.default_rng(SEED)
@@ -252,22 +250,20 @@ def least_hashes(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """_file, _at, doc_id, set (hash of the set of shingles), n (its size), sig (a byte of each least hash) and keys (one for each band) for each row of docs (_file, _at, doc_id, text)."""
+    """_file, _at, doc_id, set (hash of the set of shingles) and keys (one for each band) for each row of docs (_file, _at, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, sizes, sigs, keys = [], [], [], []
+            sets, keys = [], []
             for text in texts(batch):
                 found = shingle_set(text)
                 least = least_hashes(found)
                 sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                sigs.append(least.astype(np.uint8).tobytes())
                 keys.append(np.array([xxhash.xxh64_intdigest(band.tobytes(), c) for c, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64))
-            made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["_file", "_at", "doc_id", "set", "n", "sig", "keys"])
+            made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["_file", "_at", "doc_id", "set", "keys"])
 
-    return map_batches(docs, run, "_file string, _at long, doc_id long, set long, n long, sig binary, keys array<long>")
+    return map_batches(docs, run, "_file string, _at long, doc_id long, set long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -280,11 +276,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("set", "text"), run, "set long, shingles array<long>")
 
 
+def shingles_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The shingles of the wanted sets (set), from the texts of docs (_file, _at, text)."""
+    wanted = wanted.distinct().join(sets.select("set", "rep._file", "rep._at"), "set")
+    return materialize(shingle_sets(docs.join(wanted, ["_file", "_at"]).select("set", "text")), "near-shingles")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is SIMILARITY or more, by all shingles of docs (_file, _at, text)."""
+    """The pairs (a, b) of sets whose Jaccard similarity is SIMILARITY or more, by all shingles."""
     pairs = materialize(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "rep._file", "rep._at"), "set")
-    found = materialize(shingle_sets(docs.join(wanted, ["_file", "_at"]).select("set", "text")), "near-shingles")
+    found = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), docs, sets)
     both = pairs.join(found.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     linked = materialize(both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= SIMILARITY).select("a", "b"), "near-links")
@@ -312,63 +313,85 @@ def group_pairs(sets: DataFrame) -> DataFrame:
     return each.join(lead, "key").filter("a <> b").select("a", "b").distinct()
 
 
-def unlinked_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets (set, n, sig, keys, root) that share a key, have different roots and may be similar.
-
-    In each key all sets but those of the most frequent root are compared with all of other roots. Those of the
-    most frequent root are dealt over blocks, each of which the others go to.
+def compared(sets: np.ndarray, root: np.ndarray, shingles: pa.ListArray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between members (places) on the left and on the right that connect different roots, one for each two roots; all shingles are counted."""
+    starts, ids = shingles.offsets.to_numpy()[:-1], np.unique(shingles.flatten().to_numpy(), return_inverse=True)[1]
+    starts = starts - starts[0]
+    sizes = shingles.value_lengths().to_numpy()
+    root, mark = root.copy(), np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int32)
+    for i in left:
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        common = np.add.reduceat(np.append(mark[ids], 0), starts) if len(ids) else np.zeros(len(sizes), np.int64)
+        mark[own] = 0
+        near = right[(common >= SIMILARITY * (sizes[i] + sizes - common))[right] & (root[right] != root[i])]
+        for j in near:
+            if root[j] != root[i]:
+                yield int(sets[i]), int(sets[j])
+                root[root == root[j]] = root[i]
+
+
+def missing_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of sets (set, keys, rep, root) that share a key, have different roots and are similar, enough of them to connect all that are.
+
+    In each key all sets but those of the most frequent root are compared with all of other roots. Both kinds are dealt
+    to blocks that meet in pairs, so that a task has two blocks, however many sets share a key.
     """
-    members = sets.select("set", "n", "sig", "root", F.explode("keys").alias("key"))
+    members = sets.select("set", "root", F.explode("keys").alias("key"))
     groups = members.groupBy("key", "root").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = mixed.select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.size") / KEY_BLOCK).alias("blocks"))
-    members = members.join(mixed, "key").withColumn("other", F.col("root") != F.col("top"))
-    block = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), "blocks")))
-    dealt = members.select("key", F.explode(block).alias("block"), "other", "set", "n", "sig", "root").repartition("key", "block").sortWithinPartitions("key", "block", F.desc("other"), "set")
-
-    def of(other: np.ndarray, sets: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(int(other.sum())):
-            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]) * (1 - 1e-9)))
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_EQUAL]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), sets[i])), pa.array(sets[j])], ["a", "b"])
+    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("size"), F.count("*").alias("roots")).filter("roots > 1")
+    few, many = F.ceil((F.col("size") - F.col("top.size")) / KEY_BLOCK), F.ceil(F.col("top.size") / KEY_BLOCK)
+    members = materialize(members.join(mixed.select("key", F.col("top.root").alias("top"), few.alias("few"), many.alias("many")), "key"), "near-mixed")
+    found = shingles_of(members.select("set"), docs, sets)
+    # Who is not of the top root meets its own kind (x <= y) and the top root's blocks (y: -1 - block).
+    meet = """if(root = top, transform(sequence(0L, few - 1), i -> struct(i AS x, -1 - own AS y)),
+      concat(transform(sequence(0L, few - 1), i -> struct(least(own, i) AS x, greatest(own, i) AS y)), transform(sequence(0L, many - 1), j -> struct(own AS x, -1 - j AS y))))"""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("set"), F.when(F.col("root") == F.col("top"), F.col("many")).otherwise(F.col("few"))))
+    dealt = dealt.select("key", F.explode(F.expr(meet)).alias("at"), (F.col("root") == F.col("top")).alias("is_top"), "own", "set", "root").join(found, "set")
+    dealt = dealt.select("key", "at.x", "at.y", "is_top", "own", "set", "root", "shingles").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         at = None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, len(FACTORS))
-            yield from of(*(rows[c].to_numpy() for c in ("other", "set", "n")), sig, rows["root"].to_numpy())
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            is_top, own, every = rows["is_top"].to_numpy(), rows["own"].to_numpy(), np.arange(rows.num_rows)
+            left, right = (every[~is_top], every[is_top]) if at[2] < 0 else (every[own == at[1]], every[own == at[2]])
+            links = list(compared(rows["set"].to_numpy(), rows["root"].to_numpy(), rows["shingles"].combine_chunks(), left, right))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(key)]
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b == a:
                     continue
-                if held and at != (key[a], part[a]):
-                    yield from out()
+                here = tuple(int(k[a]) for k in keys)
+                if held and at != here:
+                    yield out()
                     held = []
-                at = (key[a], part[a])
+                at = here
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from out()
+            yield out()
 
-    made = map_batches(dealt, run, "a long, b long")
-    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = materialize(map_batches(dealt, run, "a long, b long").distinct(), "near-links")
+    discard(found)
+    discard(members)
+    return linked
 
 
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, n, sig, keys).
+    """node and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, keys).
 
     Sets are compared in full with the least one of their key in the first bands, which links most copies; then groups that
     still meet in a key, each by one of its sets; then all pairs of sets that share a key and are not linked by then.
     """
     links = similar(first_pairs(sets), docs, sets)
     links = links.union(similar(group_pairs(rooted(sets, links)), docs, sets))
-    return components(links.union(similar(unlinked_pairs(materialize(rooted(sets, links), "near-roots")), docs, sets)))
+    return components(links.union(missing_links(materialize(rooted(sets, links), "near-roots"), docs)))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
@@ -384,7 +407,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     plain = rows.select("_file", "_at", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text"))
     made = materialize(signatures(plain), "near-signatures")
     rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_file", "_at")
-    sets = materialize(made.groupBy("set").agg(F.min(rep).alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("keys").alias("keys")), "near-sets")
+    sets = materialize(made.groupBy("set").agg(F.min(rep).alias("rep"), F.min("keys").alias("keys")), "near-sets")
     linked = near_links(plain.select("_file", "_at", "text"), sets).withColumnRenamed("node", "set")
     kept = sets.join(linked, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("rep").alias("rep")).select("rep._file", "rep._at")
     return rows.join(kept, ["_file", "_at"], "left_semi").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
