@@ -125,3 +125,28 @@ def with_share(df: DataFrame, value: Column, tie: str) -> DataFrame:
         }
     )
     return made.drop(*HELPERS)
+
+
+def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
+    """One row for each column that has values: column, and q, its exact quantiles, interpolated between the two nearest values.
+
+    Distinct values are counted first and laid out over ranges, so no task holds all values of a column.
+    """
+    parts = parts_of(df)
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+    each = each.filter("x IS NOT NULL").groupBy("column", "x").agg(F.count("*").alias("n"))
+    cuts = each.groupBy("column").agg(F.percentile_approx(rough(F.col("x")), [i / parts for i in range(1, parts)], 16 * parts).alias("limits"))  # one row for each column
+    r = rough(F.col("x"))
+    each = each.join(F.broadcast(cuts), "column").withColumn("range", F.size(F.filter("limits", lambda y: y < r))).drop("limits")
+    upto = W.partitionBy("column").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = each.groupBy("column", "range").agg(F.sum("n").alias("s"))
+    sizes = sizes.select("column", "range", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before"), F.sum("s").over(W.partitionBy("column")).alias("total"))
+    inside = F.sum("n").over(W.partitionBy("column", "range").orderBy("x").rowsBetween(W.unboundedPreceding, -1))
+    each = each.join(F.broadcast(sizes), ["column", "range"]).withColumn("before", F.col("before") + F.coalesce(inside, F.lit(0)))
+    value_at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("x")))
+    out = []
+    for q in at:
+        place = (F.col("total") - 1) * F.lit(float(q))
+        out += [value_at(F.floor(place)).alias(f"a{len(out) // 3}"), value_at(F.ceil(place)).alias(f"b{len(out) // 3}"), F.max(place - F.floor(place)).alias(f"f{len(out) // 3}")]
+    made = each.groupBy("column").agg(*out)
+    return made.select("column", F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(at))]).alias("q"))

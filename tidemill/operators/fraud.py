@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.functions.ranking import with_percent_rank
+from tidemill.functions.ranking import quantiles, with_percent_rank
 from tidemill.functions.scalars import bands, epoch, ratio, seconds
 
 
@@ -41,6 +41,12 @@ DEFAULT_RULES = (
     Rule("multiple_payment_methods", "distinct_payment_methods_1h > 2", "HIGH"),
 )
 RISK_WEIGHTS = {"volume": 0.15, "diversity": 0.15, "volatility": 0.10, "behavioral": 0.45, "new": 0.15}
+BEHAVIOR_WEIGHTS = {"high_amount_rate": 0.3, "unusual_hour_rate": 0.3, "round_amount_rate": 0.4}
+#: Scores below a limit; then the score of what is not below any.
+FEW_TRANSACTIONS = [(10, 0.8), (50, 0.6)]
+FEW_CUSTOMERS = [(0.1, 0.9), (0.3, 0.6), (0.7, 0.3)], 0.1
+YOUNG = [(30, 0.8), (90, 0.6), (180, 0.4)], 0.1
+RISK_LEVELS = [(0.8, "VERY_HIGH"), (0.6, "HIGH"), (0.4, "MEDIUM"), (0.2, "LOW")]
 PRIORITY_WEIGHTS = {"financial_impact": 0.25, "customer_risk": 0.20, "merchant_risk": 0.15, "pattern_complexity": 0.15, "historical_accuracy": 0.10, "time_sensitivity": 0.10, "business_criticality": 0.05}
 PRIORITIES = [(0.8, "CRITICAL"), (0.6, "HIGH"), (0.4, "MEDIUM")]
 ACTIONS = {
@@ -93,19 +99,35 @@ def with_epoch(df: DataFrame) -> DataFrame:
     return df.withColumn("_s", epoch(F.col("ts")))
 
 
+def trailing_distinct(df: DataFrame, found: dict[str, tuple[str, str]]) -> DataFrame:
+    """name: distinct values of a column among the customer's rows in the span before and at each row, for each name: (column, span); df has _s.
+
+    A value counts from its first row until the span after its last one, so its rows are joined into stretches without a
+    longer gap; a running sum adds one where a stretch begins and takes one away where it has ended. No sets are kept.
+    """
+    made = df
+    for i, (column, span) in enumerate(found.values()):
+        w = W.partitionBy("customer_id", column).orderBy("_s")
+        far = lambda gap, span=span: F.coalesce(gap > seconds(span), F.lit(True))
+        known = F.col(column).isNotNull()
+        made = made.withColumns({f"_a{i}": (known & far(F.col("_s") - F.lag("_s").over(w))).cast("int"), f"_b{i}": known & far(F.lead("_s").over(w) - F.col("_s"))})
+    ended = F.array_compact(F.array(*[F.when(F.col(f"_b{i}"), F.struct(F.lit(i).alias("i"), (F.col("_s") + seconds(span) + 1).alias("s"))) for i, (_, span) in enumerate(found.values())]))
+    ends = made.select("customer_id", F.explode(ended).alias("e")).select("customer_id", F.col("e.s").alias("_s"), *[F.when(F.col("e.i") == i, -1).otherwise(0).alias(f"_a{i}") for i in range(len(found))])
+    every = made.drop(*[f"_b{i}" for i in range(len(found))]).withColumn("_real", F.lit(True)).unionByName(ends, allowMissingColumns=True)
+    upto = W.partitionBy("customer_id").orderBy("_s").rangeBetween(W.unboundedPreceding, W.currentRow)
+    every = every.withColumns({name: F.sum(f"_a{i}").over(upto).cast("int") for i, name in enumerate(found)})
+    return every.filter("_real").drop("_real", *[f"_a{i}" for i in range(len(found))])
+
+
 def velocity(df: DataFrame, spans: dict[str, str] | None = None) -> DataFrame:
     """Counts, sums, distinct merchants and payment methods of each customer over trailing spans."""
     spans = spans or {"1h": "1 hour", "1d": "1 day", "7d": "7 days"}
     df = with_epoch(df)
     for name, span in spans.items():
         w = trailing(span, "customer_id")
-        df = df.withColumns(
-            {
-                f"transaction_count_{name}": F.count("*").over(w), f"amount_sum_{name}": F.sum("price").over(w),
-                f"distinct_merchants_{name}": F.size(F.collect_set("merchant_id").over(w)), f"distinct_payment_methods_{name}": F.size(F.collect_set("payment_method").over(w)),
-            }
-        )
-    return df.drop("_s")
+        df = df.withColumns({f"transaction_count_{name}": F.count("*").over(w), f"amount_sum_{name}": F.sum("price").over(w)})
+    kinds = {"distinct_merchants": "merchant_id", "distinct_payment_methods": "payment_method"}
+    return trailing_distinct(df, {f"{kind}_{name}": (column, span) for name, span in spans.items() for kind, column in kinds.items()}).drop("_s")
 
 
 def amounts(df: DataFrame) -> DataFrame:
@@ -141,8 +163,8 @@ def novelty(df: DataFrame, column: str, prefix: str, tie: str = "transaction_id"
 
 def locations(df: DataFrame) -> DataFrame:
     made = with_epoch(novelty(df, "location", "location"))
-    hour = trailing("1 hour", "customer_id")
-    return made.withColumns({"location_transactions_1h": F.count("*").over(trailing("1 hour", "customer_id", "location")), "distinct_locations_1h": F.size(F.collect_set("location").over(hour))}).drop("_s")
+    made = made.withColumn("location_transactions_1h", F.count("*").over(trailing("1 hour", "customer_id", "location")))
+    return trailing_distinct(made, {"distinct_locations_1h": ("location", "1 hour")}).drop("_s")
 
 
 def merchants(df: DataFrame) -> DataFrame:
@@ -162,12 +184,20 @@ def patterns(df: DataFrame) -> DataFrame:
     return merchants(made) if "merchant_id" in df.columns else made
 
 
+def below(value: Column, limits: list[tuple[float, float]], otherwise: Column | float) -> Column:
+    """The score of the first limit that value is below."""
+    out = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
+    for limit, score in reversed(limits):
+        out = F.when(value < limit, score).otherwise(out)
+    return out
+
+
 def merchant_risk(tx: DataFrame, as_of: str, lookback_days: int | None = 30) -> DataFrame:
-    """Metrics, rates, scores, level and flags of each merchant: the merchant's mean by window, then one aggregation."""
+    """Metrics, rates, scores, level and flags of each merchant: the merchants' means are joined back, then one aggregation."""
     now = F.lit(as_of).cast("date")
     if lookback_days is not None:
         tx = tx.filter(F.to_date("ts") >= F.date_sub(now, lookback_days))
-    tx = tx.withColumn("_avg", F.avg("price").over(W.partitionBy("merchant_id")))
+    tx = tx.join(tx.groupBy("merchant_id").agg(F.avg("price").alias("_avg")), "merchant_id")
     rate = lambda c: ratio(F.sum(F.when(c, 1).otherwise(0)), F.count("*"))
     p = F.col("price")
     made = tx.groupBy("merchant_id").agg(
@@ -182,16 +212,16 @@ def merchant_risk(tx: DataFrame, as_of: str, lookback_days: int | None = 30) ->
     spread, age = ratio(F.col("unique_customers"), n), F.col("merchant_age_days")
     made = made.withColumns(
         {
-            "volume_risk_score": F.when(n < 10, 0.8).when(n < 50, 0.6).otherwise(1 - F.col("_volume")),
-            "diversity_risk_score": F.when(spread < 0.1, 0.9).when(spread < 0.3, 0.6).when(spread < 0.7, 0.3).otherwise(0.1),
-            "behavioral_risk_score": 0.3 * F.col("high_amount_rate") + 0.3 * F.col("unusual_hour_rate") + 0.4 * F.col("round_amount_rate"),
-            "new_risk_score": F.when(age < 30, 0.8).when(age < 90, 0.6).when(age < 180, 0.4).otherwise(0.1),
+            "volume_risk_score": below(n, FEW_TRANSACTIONS, 1 - F.col("_volume")),
+            "diversity_risk_score": below(spread, *FEW_CUSTOMERS),
+            "behavioral_risk_score": sum((F.col(c) * w for c, w in BEHAVIOR_WEIGHTS.items()), F.lit(0.0)),
+            "new_risk_score": below(age, *YOUNG),
         }
     ).drop("_volume")
     total = sum((F.col(f"{k}_risk_score") * w for k, w in RISK_WEIGHTS.items()), F.lit(0.0))
     flags = [(n < 10, "LOW_VOLUME"), (F.col("diversity_risk_score") > 0.7, "LOW_CUSTOMER_DIVERSITY"), (F.col("volatility_risk_score") > 0.8, "HIGH_AMOUNT_VOLATILITY"), (F.col("unusual_hour_rate") > 0.3, "HIGH_UNUSUAL_HOURS"), (F.col("round_amount_rate") > 0.5, "HIGH_ROUND_AMOUNTS"), (age < 30, "NEW_MERCHANT")]
     made = made.withColumn("merchant_risk_score", F.round(total, 9))
-    level = bands(F.col("merchant_risk_score"), [(0.8, "VERY_HIGH"), (0.6, "HIGH"), (0.4, "MEDIUM"), (0.2, "LOW")], "VERY_LOW")
+    level = bands(F.col("merchant_risk_score"), RISK_LEVELS, "VERY_LOW")
     return made.withColumns({"merchant_risk_level": level, "risk_flags": F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in flags]))})
 
 
@@ -211,10 +241,10 @@ def prioritize(alerts: DataFrame, as_of: Column, customers: DataFrame | None = N
     """Seven factors, score, level, actions and minutes of each alert (price, ts, triggered_rules, payment_method, max_severity).
 
     customers: customer_id, customer_risk; merchants: merchant_id, merchant_risk; history: rule, resolution. What is unknown is 0.5.
-    The percentiles are one row, exact; the accuracy of rules joins by exploded rule names.
+    The percentiles are one row, exact, by ranges; the accuracy of rules joins by exploded rule names.
     """
     p, n = F.col("price"), F.size("triggered_rules")
-    cuts = alerts.agg(F.percentile("price", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))).scalar()
+    cuts = quantiles(alerts, ["price"], [0.5, 0.95, 0.99]).select("q").scalar()
     made = alerts.withColumn("_cuts", cuts)
     median, p95, p99 = (F.get("_cuts", F.lit(i)) for i in range(3))
     impact = F.when(p >= p99, 1.0).when(p >= p95, 0.8).when(p >= median * 5, 0.6).when(p >= median * 2, 0.4).when(p >= median, 0.2).otherwise(0.1)

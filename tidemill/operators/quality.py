@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.functions.scalars import bands, bot_agent, epoch, ratio
+from tidemill.functions.ranking import quantiles
+from tidemill.functions.scalars import bands, bot_agent, epoch, ratio, seconds
 
 
 @dataclass(frozen=True)
@@ -108,20 +109,22 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 
 def outliers(df: DataFrame, column: str, z_limit: float = 3.0, iqr_factor: float = 1.5) -> DataFrame:
     """{column}_zscore, {column}_outlier: far from the mean or outside the quartiles' fences; both from one row of statistics."""
-    stats = df.agg(F.struct(F.avg(column).alias("m"), F.stddev(column).alias("s"), F.percentile(column, F.lit(0.25)).alias("a"), F.percentile(column, F.lit(0.75)).alias("b"))).scalar()
-    made = df.withColumn("_st", stats)
-    v, s = F.col(column), F.col("_st")
+    stats = df.agg(F.struct(F.avg(column).alias("m"), F.stddev(column).alias("s"))).scalar()
+    made = df.withColumns({"_st": stats, "_q": quantiles(df, [column], [0.25, 0.75]).select("q").scalar()})
+    v, s, low, high = F.col(column), F.col("_st"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     z = ratio(v - s["m"], s["s"])
-    fence = iqr_factor * (s["b"] - s["a"])
-    far = F.coalesce(F.abs(z) > z_limit, F.lit(False)) | F.coalesce((v < s["a"] - fence) | (v > s["b"] + fence), F.lit(False))
-    return made.withColumns({f"{column}_zscore": z, f"{column}_outlier": far}).drop("_st")
+    fence = iqr_factor * (high - low)
+    far = F.coalesce(F.abs(z) > z_limit, F.lit(False)) | F.coalesce((v < low - fence) | (v > high + fence), F.lit(False))
+    return made.withColumns({f"{column}_zscore": z, f"{column}_outlier": far}).drop("_st", "_q")
 
 
 def window_outliers(df: DataFrame, column: str, span: str = "1 hour", z_limit: float = 3.0, ts: str = "ts") -> DataFrame:
-    """One row for each input row: is_anomaly against the mean and spread of its own window."""
-    w = W.partitionBy(F.window(ts, span))
-    z = ratio(F.col(column) - F.avg(column).over(w), F.stddev(column).over(w))
-    return df.withColumns({"window_zscore": z, "is_anomaly": F.coalesce(F.abs(z) > z_limit, F.lit(False))})
+    """One row for each input row: is_anomaly against the mean and spread of its own window, which are one small row a window."""
+    df = df.withColumn("_w", F.floor(epoch(F.col(ts)) / seconds(span)))
+    stats = df.groupBy(F.col("_w").alias("_window")).agg(F.avg(column).alias("_mean"), F.stddev(column).alias("_spread"))
+    made = df.join(stats, F.col("_w").eqNullSafe(F.col("_window")), "left")
+    z = ratio(F.col(column) - F.col("_mean"), F.col("_spread"))
+    return made.withColumns({"window_zscore": z, "is_anomaly": F.coalesce(F.abs(z) > z_limit, F.lit(False))}).drop("_w", "_window", "_mean", "_spread")
 
 
 def burst(df: DataFrame, user: str = "user_id", ts: str = "ts", factor: float = 2.0) -> DataFrame:
@@ -212,7 +215,7 @@ def quality_dashboard(assessed: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row for each column: counts, distinct values, and numbers or lengths, all from one aggregation.
+    """One row for each column: counts, distinct values, and numbers or lengths, all from one aggregation but for the quartiles.
 
     Statistics of a kind that a column does not have are null.
     """
@@ -224,17 +227,21 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     def parts(i: int, c: str) -> list[Column]:
         v = F.col(c).cast("double") if c in numeric else none
         n = F.length(c).cast("double") if c in text else none
-        q = [F.percentile(v, F.lit(p)) if c in numeric else F.max(none) for p in (0.25, 0.5, 0.75)]
         stats = {
             "count": F.count(c), "nulls": F.count_if(F.col(c).isNull()), "distinct": F.countDistinct(c), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "stddev": F.stddev(v), "skewness": F.skewness(v), "kurtosis": F.kurtosis(v),
-            "q25": q[0], "median": q[1], "q75": q[2], "zeros": F.count_if(v == 0), "negatives": F.count_if(v < 0), "min_length": F.min(n), "max_length": F.max(n), "avg_length": F.avg(n),
+            "zeros": F.count_if(v == 0), "negatives": F.count_if(v < 0), "min_length": F.min(n), "max_length": F.max(n), "avg_length": F.avg(n),
         }
         return [e.alias(f"_{i}_{k}") for k, e in stats.items()]
 
-    names = ("count", "nulls", "distinct", "min", "max", "mean", "stddev", "skewness", "kurtosis", "q25", "median", "q75", "zeros", "negatives", "min_length", "max_length", "avg_length")
+    names = ("count", "nulls", "distinct", "min", "max", "mean", "stddev", "skewness", "kurtosis", "zeros", "negatives", "min_length", "max_length", "avg_length")
     one = df.agg(*[p for i, c in enumerate(columns) for p in parts(i, c)])
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}_{n}").alias(n) for n in names]) for i, c in enumerate(columns)]
     made = one.select(F.inline(F.array(*rows)))
+    if of := [c for c in columns if c in numeric]:
+        made = made.join(F.broadcast(quantiles(df, of, [0.25, 0.5, 0.75])), "column", "left")  # one row for each column
+    else:
+        made = made.withColumn("q", F.lit(None).cast("array<double>"))
+    made = made.withColumns({name: F.get("q", F.lit(i)) for i, name in enumerate(("q25", "median", "q75"))}).drop("q")
     return made.withColumn("completeness", ratio(F.col("count"), F.col("count") + F.col("nulls")))
 
 
