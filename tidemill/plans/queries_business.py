@@ -203,40 +203,42 @@ def product_content_profiles(spark, sf):
     return made.withColumn("products", F.array_join(F.sort_array(F.transform("products", lambda x: x.cast("string"))), ","))
 
 
-@query(f"""WITH {LINES}, d AS (SELECT DISTINCT transaction_id, CAST(product_id % 25 AS BIGINT) AS item FROM lines), b AS (SELECT transaction_id FROM d GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM b), e AS (SELECT d.* FROM d JOIN b USING (transaction_id)),
-  s AS (SELECT CAST(item AS VARCHAR) AS items, count(*) AS freq, 1 AS size FROM e GROUP BY item UNION ALL SELECT CAST(a.item AS VARCHAR) || ',' || CAST(c.item AS VARCHAR), count(*), 2 FROM e a JOIN e c ON a.transaction_id = c.transaction_id AND a.item < c.item GROUP BY a.item, c.item)
-  SELECT items, freq, size, round(freq / n, 6) AS support FROM s, n WHERE freq >= n * 0.01""")
-def product_frequent_itemsets(spark, sf):
-    found = product.baskets(lines(spark, sf).withColumn("product_id", F.col("product_id") % 25))
-    sets, _ = product.frequent_itemsets(found, 0.01)
-    return sets.filter("size <= 2").select(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "freq", "size", F.round("support", 6).alias("support"))
+#: All subsets of all baskets (orders have few lines), those in two baskets or more, and the rules with one consequence.
+ITEMSETS = f"""{LINES}, b AS (SELECT transaction_id, list_sort(list(DISTINCT product_id)) AS items FROM lines GROUP BY 1 HAVING count(DISTINCT product_id) >= 2), n AS (SELECT count(*) AS n FROM b),
+  m AS (SELECT items, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT))) AS mask FROM b), sets AS (SELECT items, count(*) AS freq, len(items) AS size FROM (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items FROM m) GROUP BY items HAVING count(*) >= 2),
+  c AS (SELECT items, freq, unnest(items) AS x FROM sets WHERE size >= 2),
+  rules AS (SELECT a.items AS antecedent, c.x AS consequent, c.freq / a.freq AS confidence, (c.freq / a.freq) / (o.freq / n) AS lift FROM c JOIN sets a ON a.items = list_filter(c.items, lambda y: y <> c.x) JOIN sets o ON o.items = [c.x], n WHERE c.freq / a.freq >= 0.05)"""
 
 
-@query(f"""WITH {LINES}, d AS (SELECT DISTINCT transaction_id, product_id % 25 AS item FROM lines), b AS (SELECT transaction_id FROM d GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM b), e AS (SELECT d.* FROM d JOIN b USING (transaction_id)), one AS (SELECT item, count(*) AS f FROM e GROUP BY 1),
-  two AS (SELECT a.item AS x, c.item AS y, count(*) AS f FROM e a JOIN e c ON a.transaction_id = c.transaction_id AND a.item <> c.item GROUP BY 1, 2)
-  SELECT x AS product_a, y AS product_b, round(two.f / a.f, 6) AS confidence, round((two.f / a.f) / (b.f / n), 6) AS lift FROM two JOIN one a ON a.item = x JOIN one b ON b.item = y, n WHERE two.f >= n * 0.01 AND two.f / a.f >= 0.05""")
-def product_association_rules(spark, sf):
-    found = product.baskets(lines(spark, sf).withColumn("product_id", F.col("product_id") % 25))
-    _, rules = product.frequent_itemsets(found, 0.01, 0.05)
-    pairs = rules.filter("size(antecedent) = 1 AND size(consequent) = 1")
-    return rounded(pairs.select(F.col("antecedent")[0].alias("product_a"), F.col("consequent")[0].alias("product_b"), "confidence", "lift"), "confidence", "lift", digits=6)
+def itemsets(spark, sf):
+    """Itemsets in two baskets or more, of any size, and the rules among them."""
+    found = product.baskets(lines(spark, sf))
+    return product.frequent_itemsets(found, 1.5 / max(2, found.count()), 0.05)
 
 
-def twice(found: DataFrame) -> float:
-    """The support of what is in two baskets or more."""
-    return 1.5 / max(2, found.count())
+def listed(items):
+    return F.array_join(F.transform(F.sort_array(items), lambda x: x.cast("string")), ",")
 
 
-@query()
+@query(f"WITH {ITEMSETS} SELECT array_to_string(items, ',') AS items, freq, CAST(size AS INTEGER) AS size, round(freq / n, 9) AS support FROM sets, n")
+def product_frequent_itemsets(spark, sf):
+    return itemsets(spark, sf)[0].select(listed(F.col("items")).alias("items"), "freq", "size", F.round("support", 9).alias("support"))
+
+
+@query(f"WITH {ITEMSETS} SELECT array_to_string(antecedent, ',') AS antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules")
+def product_association_rules(spark, sf):
+    rules = itemsets(spark, sf)[1]
+    return rounded(rules.select(listed(F.col("antecedent")).alias("antecedent"), F.get("consequent", F.lit(0)).alias("consequent"), "confidence", "lift"), "confidence", "lift", digits=6)
+
+
+@query(f"WITH {ITEMSETS}, p AS (SELECT unnest(antecedent) AS product_a, consequent AS product_b, confidence, lift FROM rules) SELECT product_a, product_b, round(max(confidence), 6) AS max_confidence, round(max(lift), 6) AS max_lift FROM p GROUP BY 1, 2")
 def product_affinity(spark, sf):
-    found = product.baskets(lines(spark, sf))
-    return product.affinity(product.frequent_itemsets(found, twice(found), 0.05)[1])
+    return rounded(product.affinity(itemsets(spark, sf)[1]), "max_confidence", "max_lift", digits=6)
 
 
-@query()
+@query(f"WITH {ITEMSETS} SELECT unnest(antecedent) AS product, consequent AS recommended, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules WHERE confidence > 0.1")
 def product_cross_sell(spark, sf):
-    found = product.baskets(lines(spark, sf))
-    return product.cross_sell(product.frequent_itemsets(found, twice(found), 0.05)[1], 0.1)
+    return rounded(product.cross_sell(itemsets(spark, sf)[1], 0.1), "confidence", "lift", digits=6)
 
 
 @query()

@@ -141,10 +141,10 @@ def quality_table_rules(spark, sf):
     return r(dq.table_rules(payload(spark, sf), rules, "1999-06-01 00:00:00"), "score")
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), ('phone', '\\b\\d{3}[-.]?\\d{3}[-.]?\\d{4}\\b'), ('ssn', '\\b\\d{3}-\\d{2}-\\d{4}\\b'), ('credit_card', '\\b(?:\\d{4}[- ]?){3}\\d{4}\\b')) t(kind, pattern)), m AS (SELECT kind, avg(CAST(regexp_matches(text, pattern) AS INTEGER)) AS share FROM benchmark, p GROUP BY 1)
+@query("""WITH p AS (SELECT * FROM (VALUES ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), ('phone', '\\b\\d{3}[-.]?\\d{3}[-.]?\\d{4}\\b'), ('ssn', '\\b\\d{3}-\\d{2}-\\d{4}\\b'), ('credit_card', '\\b(?:\\d{4}[- ]?){3}\\d{4}\\b')) t(kind, pattern)), m AS (SELECT kind, avg(CAST(coalesce(regexp_matches(text, pattern), false) AS INTEGER)) AS share FROM documents, p GROUP BY 1)
   SELECT 'text' AS "column", kind, round(share, 6) AS share, share > 0.1 AS flagged FROM m""")
 def quality_pii(spark, sf):
-    return r(dq.detect_pii(table(spark, sf, "benchmark"), ["text"]), "share")
+    return r(dq.detect_pii(table(spark, sf, "documents"), ["text"]), "share")
 
 
 @query("SELECT 'null' AS \"check\", 'o_custkey' AS \"column\", count(*) FILTER (WHERE o_custkey IS NULL) AS failures FROM orders UNION ALL SELECT 'duplicate', 'o_custkey,o_orderdate', count(*) - count(DISTINCT (o_custkey, o_orderdate)) FROM orders UNION ALL SELECT 'range', 'o_totalprice', count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 400000) FROM orders UNION ALL SELECT 'form', 'o_orderpriority', count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-3]')) FROM orders")
