@@ -3,8 +3,8 @@
 Voters are word stems (the first four and five letters of words), present at all or dense (at least
 twice and in 0.6 % of the words), that labelled training documents show to be far more frequent in
 toxic ones, a fixed list of insults, and patterns. A voter says
-toxic, clean or nothing. The label model explains all votes by a hidden class: EM
-estimates how often each voter says what in each class (its accuracy), and how strongly voters agree
+toxic, clean or nothing. Given labels only choose the voters: the label model explains all votes by a hidden class, and EM, which
+starts from the votes, estimates how often each voter says what in each class (its accuracy), and how strongly voters agree
 beyond that (their correlations), by which the votes of groups that repeat each other are shrunk. The
 posterior is the target of a logistic regression on stems and patterns, which scores every
 document, and which may use stems that are no voters.
@@ -110,14 +110,14 @@ def vocabulary(counts: DataFrame, n_toxic: int, n_clean: int, features: int, vot
     return [r["feature"] for r in best], sure[:voters]
 
 
-def label_model(votes: np.ndarray, first: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """The posterior probability of toxic for each row of votes (1 toxic, -1 clean, 0 nothing).
+def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The posterior probability of toxic for each row of votes (1 toxic, -1 clean, 0 nothing), from the votes alone.
 
-    first: a first guess for each row; EM goes on from there without it.
+    EM starts from what two voters say; no given label is seen here.
     """
     n, m = votes.shape
     says = np.stack([votes == v for v in (1, 0, -1)]).astype(np.float64)  # 3 x n x m
-    p = first.astype(np.float64)
+    p = np.where((votes > 0).sum(axis=1) >= 2, 0.9, 0.1)
     shrink = np.ones(m)
     for step in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
@@ -201,9 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
         for batch in batches:
             rows = [model.read(t, cache) for t in texts(batch)]
             made = [pa.array([a for a, _ in rows], pa.list_(pa.int32())), pa.array([b for _, b in rows], pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays([*made, batch.column(1).cast(pa.int32())], ["found", "votes", "toxic"])
+            yield pa.RecordBatch.from_arrays(made, ["found", "votes"])
 
-    seen = map_batches(train.select("text", "toxic"), run, "found array<int>, votes array<tinyint>, toxic int").toPandas()  # at most about most_labelled rows
+    seen = map_batches(train.select("text"), run, "found array<int>, votes array<tinyint>").toPandas()  # at most about most_labelled rows
     if not sizes.get(1):
         model.weight = [6.0] * len(insults) + [0.0] * len(PATTERNS)
         return model
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     for i, (found, cast) in enumerate(zip(seen["found"], seen["votes"], strict=True)):
         votes[i, [place[c] for c in found if c in place]] = 1
         votes[i, len(vote) :] = cast
-    posterior = label_model(votes, np.where(seen["toxic"] > 0, 0.9, 0.1))
+    posterior = label_model(votes)
     rows = [np.array(model.features(list(found), list(cast)), np.int64) for found, cast in zip(seen["found"], seen["votes"], strict=True)]
     weight, model.bias = logistic(rows, posterior, len(model.columns) + len(PATTERNS))
     model.weight = weight.tolist()
@@ -235,8 +235,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs.
 
-    Null and empty texts have no stems and get the score of such texts; repeated rows and null ids
-    (fold of the empty text) stay; without toxic training labels the fixed insults alone vote; an empty
+    Null and empty texts have no stems and get the score of such texts; texts are read whole, however long; repeated rows, ties
+    and null ids (fold of the empty text) stay; without toxic training labels the fixed insults alone vote; an empty
     table gives an empty result; lang, source and further columns are not read.
     """
     scored = score(docs, fit(docs, labels, **params))
