@@ -8,6 +8,7 @@ the same last label, last two labels and file suffix, kept in a fixed number of
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml.classification import GBTClassifier
@@ -110,8 +111,9 @@ def judge(pages: DataFrame, given: list[Rule], labels: DataFrame | None = None,
 
     labels (url, verdict) replaces the URLs that rules decide as what the trees learn from. With
     fewer than two verdicts among the labelled URLs there is nothing to learn: the rest gets
-    the only one, or `allow` without any. Null and empty URLs have empty parts and are judged
-    by the trees like others; repeated rows and null ids stay; an empty table gives an empty result.
+    the only one, or `allow` without any. Null, empty and very long URLs are judged whole
+    by the trees like others; repeated rows, ties and null ids stay; an empty table gives an empty result.
+    At most MOST_LABELLED distinct URLs are fitted on, half of them of each verdict, weighted by the rows that they stand for.
     """
     spark = pages.sparkSession
     clean = lambda df: df.withColumns(dict(zip(("host", "path"), parts(F.col("url")), strict=True)))
@@ -140,12 +142,14 @@ def judge(pages: DataFrame, given: list[Rule], labels: DataFrame | None = None,
     with_rates = lambda df: df.withColumns({f: F.get(r.scalar(), bucket(f[2:])) for f, r in rates.items()})
     features = sorted(c for c in with_rates(made).columns if c.startswith("f_"))
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    sample = known.filter(F.pmod("_h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, MOST_LABELLED / n))))
-    train = materialize(with_rates(sample).select("label", "_h", *features), "urls-train")
-    train = vector.transform(train.coalesce(1).sortWithinPartitions("_h", "label", *features)).select("features", "label")
-    if train.select("label").distinct().count() < 2:
-        train = vector.transform(with_rates(known)).select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=1.0, featureSubsetStrategy="all").fit(train)
+    # A bounded sample of distinct URLs of each label; weights stand for the rows, and for the URLs left out.
+    each = materialize(with_rates(known).groupBy("_h", "label", *features).agg(F.count("*").alias("rows")), "urls-labelled")
+    found = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    half = lambda label: min(found[label], MOST_LABELLED // 2)
+    parts_ = [each.filter(F.col("label") == x).orderBy("_h", *features).limit(half(x)).withColumn("weight", F.col("rows") * F.lit(found[x] / half(x))) for x in sorted(found)]
+    train = materialize(reduce(DataFrame.unionByName, parts_).select("label", "weight", "_h", *features), "urls-train")
+    train = vector.transform(train.coalesce(1).sortWithinPartitions("_h", "label", *features)).select("features", "label", "weight")
+    model = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=1.0, featureSubsetStrategy="all").fit(train)
     scored = model.transform(vector.transform(with_rates(made)))
     chance = vector_to_array("probability")[1]
     by_trees = F.when(chance >= threshold, F.lit("block")).otherwise(F.lit("allow"))
