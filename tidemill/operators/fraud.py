@@ -303,9 +303,9 @@ def combine(df: DataFrame, rule_weight: float = 0.4, model_weight: float = 0.6,
     return made.withColumns({"combined_fraud_prediction": (F.col("combined_fraud_score") > threshold).cast("int"), "detection_method": how})
 
 
-def detect(tx: DataFrame, merchant_scores: DataFrame | None = None, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+def detect(tx: DataFrame, merchant_scores: DataFrame | None = None, rules: tuple[Rule, ...] = DEFAULT_RULES, spans: dict[str, str] | None = None) -> DataFrame:
     """Patterns, rules and merchant risk (0.5 and MEDIUM where unknown) of each transaction; model columns if it has them."""
-    made = apply_rules(velocity(tx), rules)
+    made = apply_rules(velocity(tx, spans), rules)
     if merchant_scores is not None:
         made = made.join(merchant_scores.select("merchant_id", "merchant_risk_score", "merchant_risk_level"), "merchant_id", "left").fillna({"merchant_risk_score": 0.5, "merchant_risk_level": "MEDIUM"})
     if "ml_fraud_probability" not in made.columns:

@@ -131,6 +131,18 @@ def revenue_forecast(spark, sf):
     return revenue.forecast(revenue.daily(rev(spark, sf)))
 
 
+@query(f"""WITH {REV}, d AS (SELECT payment_method, CAST(ts AS DATE) AS day, sum(revenue) AS revenue FROM r GROUP BY 1, 2), t AS (SELECT *, date_diff('day', DATE '1970-01-01', day) AS t FROM d),
+  l AS (SELECT payment_method, regr_slope(revenue, t) AS b, regr_intercept(revenue, t) AS a, max(day) AS last FROM t GROUP BY 1 HAVING count(*) >= 90), w AS (SELECT payment_method, dayofweek(day) AS wd, avg(revenue - a - b * t) AS e FROM t JOIN l USING (payment_method) GROUP BY 1, 2),
+  x AS (SELECT payment_method, a, b, last + CAST(i AS INTEGER) AS day FROM l, range(1, 31) r(i)) SELECT payment_method, day, round(a + b * date_diff('day', DATE '1970-01-01', day) + coalesce(e, 0), 2) AS forecast FROM x LEFT JOIN w USING (payment_method) WHERE wd = dayofweek(day)""")
+def revenue_forecast_by_dimension(spark, sf):
+    return rounded(revenue.forecast_by(revenue.daily(rev(spark, sf), "payment_method"), "payment_method"), "forecast", digits=2)
+
+
+@query()
+def revenue_forecast_trees(spark, sf):
+    return revenue.forecast(revenue.daily(rev(spark, sf)), kind="random_forest")
+
+
 @query(f"WITH {LINES} SELECT strftime(ts, '%Y-%m') AS period, round(sum(revenue), 2) AS total_revenue, sum(quantity) AS units_sold, count(*) AS transactions, count(DISTINCT product_id) AS products, count(DISTINCT customer_id) AS customers, round(avg(price), 4) AS avg_price, round(sum(revenue) / count(DISTINCT product_id), 4) AS revenue_per_product FROM lines GROUP BY 1")
 def product_overall_performance(spark, sf):
     return rounded(rounded(product.overall(lines(spark, sf)), "avg_price", "revenue_per_product"), "total_revenue", digits=2)

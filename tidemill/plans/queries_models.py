@@ -236,3 +236,46 @@ def spark_batch_floor(spark, sf):
     made = table(spark, sf, "lineitem").filter("l_quantity > 10").groupBy(F.col("l_returnflag").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 5).alias("avg_price"))
     o = table(spark, sf, "orders").select("o_orderkey")
     return made.withColumn("joined", o.join(o.withColumnRenamed("o_orderkey", "k"), F.col("o_orderkey") == F.col("k")).agg(F.count("*")).scalar())
+
+
+@query("SELECT count(*) AS n, count(*) AS same FROM lineitem")
+def fraud_model_reloaded(spark, sf):
+    """A model that was saved and loaded again predicts what it predicted before."""
+    at = runs.folder(spark, "model")
+    features = ml.fraud_features(pay(spark, sf))
+    model = ml.fraud_pipeline("logistic_regression").fit(features)
+    ml.save_model(model, at)
+    made = lambda m, name: ml.predict_fraud(features, m).select("transaction_id", F.col("fraud_probability").alias(name))
+    both = made(model, "a").join(made(ml.load_model(at), "b"), "transaction_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
+
+
+@query("SELECT * FROM (VALUES (1, 'retired', 0.0), (2, 'active', 0.75), (3, 'active', 0.25)) t(version, status, traffic)".replace("SELECT *", "SELECT CAST(version AS BIGINT) AS version, status, CAST(traffic AS DOUBLE) AS traffic"))
+def model_registry(spark, sf):
+    registry = ml.ModelRegistry(TableStore(spark, runs.folder(spark, "registry")))
+    for i in range(3):
+        registry.register("fraud", f"/models/{i}", {"auc": 0.9 + i / 100})
+    registry.deploy("fraud", {1: 1.0})
+    registry.deploy("fraud", {2: 3.0, 3: 1.0})
+    return registry.versions("fraud").select("version", "status", "traffic")
+
+
+@query("SELECT 'customers' AS \"table\", count(*) AS rows FROM customer WHERE c_custkey % 10 <> 1 UNION ALL SELECT 'orders', count(*) FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02') <= 1500")
+def lake_maintenance(spark, sf):
+    """Retention, compaction and vacuum of all tables of a store."""
+    store = stored(spark, sf)
+    store.append("orders", transactions(spark, sf))
+    report = store.maintain(("retain", "optimize", "vacuum"), retention_hours=0, rules={"orders": ("ts", 365, 1500)}, as_of=AS_OF)
+    return report.filter("job = 'vacuum' AND outcome = 'done'").select("table", "rows")
+
+
+@query("SELECT fmt, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer, (VALUES ('csv'), ('json'), ('parquet')) f(fmt) GROUP BY 1")
+def report_exports(spark, sf):
+    at = runs.folder(spark, "exports")
+    df = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.array("c_mktsegment").alias("segments"))
+    out = None
+    for fmt in ("csv", "json", "parquet"):
+        readers.export(df, f"{at}/{fmt}", fmt)
+        made = readers.read_files(spark, f"{at}/{fmt}", fmt, schema=df.drop("segments").schema if fmt != "csv" else "c_custkey long, c_acctbal double, segments string", transform=lambda x, fmt=fmt: x.select(F.lit(fmt).alias("fmt"), "c_acctbal"))
+        out = made if out is None else out.unionByName(made)
+    return out.groupBy("fmt").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))

@@ -6,15 +6,17 @@ the windows that end at or before the last event's time less the delay.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import lookup
-from tidemill.operators import joins
+from tidemill.operators import fraud, joins
 from tidemill.plans.bindings import BEHAVIOR, CHANNELS, behavior
 from tidemill.plans.registry import query
+from tidemill.sources import readers
 from tidemill.sources.tablestore import TableStore
 from tidemill.streaming import aggregations as ag
-from tidemill.streaming import runs
+from tidemill.streaming import detection, runs
 
 SALES = f"{BEHAVIOR}, sales AS (SELECT event_id, ts, channel AS location, value AS amount, k % 7 + 1 AS quantity, user_id AS customer_id, CASE WHEN k % 3 = 0 THEN 'credit_card' ELSE 'paypal' END AS payment_method, CASE WHEN value > 100 THEN 3 ELSE 0 END AS risk, product_id, event_type AS category FROM behavior)"
 
@@ -148,3 +150,49 @@ def stream_user_counts(spark, sf):
     made = streamed(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
     runs.upsert(made, store, "counts", ["user_id"], "ts", f"{store.root}/_checkpoint").awaitTermination()
     return store.read("counts").select("user_id", "n")
+
+
+RULES = (fraud.Rule("high_value", "price > 100", "HIGH"), fraud.Rule("burst", "transaction_count_1d > 3", "MEDIUM"), fraud.Rule("methods", "distinct_payment_methods_1d > 1", "LOW"))
+PAYMENTS = f"""{SALES}, pay AS (SELECT event_id AS transaction_id, customer_id, product_id AS merchant_id, amount AS price, ts, payment_method, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM sales),
+  vel AS (SELECT *, count(*) OVER w AS n, len(list_distinct(list(payment_method) OVER w)) AS m FROM pay WINDOW w AS (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)),
+  found AS (SELECT *, CAST(0.7 * (price > 100)::INT + 0.3 * (n > 3)::INT + 0.1 * (m > 1)::INT AS DOUBLE) AS score, concat_ws(',', CASE WHEN price > 100 THEN 'high_value' END, CASE WHEN n > 3 THEN 'burst' END, CASE WHEN m > 1 THEN 'methods' END) AS rules FROM vel)"""
+
+
+def payments(b):
+    return as_sales(b).select(F.col("event_id").alias("transaction_id"), "customer_id", F.col("product_id").alias("merchant_id"), F.col("amount").alias("price"), "ts", "payment_method")
+
+
+def detected(spark, sf):
+    """The payments in order of time as a stream of four files, each of which is a micro-batch."""
+    at = runs.folder(spark, "fraud")
+    df = payments(behavior(spark, sf))
+    part = F.ntile(4).over(W.orderBy("day"))
+    days = df.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).withColumn("part", part)  # one row for each day
+    rows = df.withColumn("day", F.to_date("ts")).join(F.broadcast(days.select("day", "part")), "day").drop("day")
+    for i in range(1, 5):  # files are taken in the order in which they were written
+        rows.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = readers.stream_files(spark, f"{at}/in", df.schema, files_per_trigger=1)
+    detection.detect(stream, at, f"{at}/_checkpoint", RULES, spans={"1d": "1 day"}, longest="1 day").awaitTermination()
+    return detection.scored(spark, at)
+
+
+@query(f"WITH {PAYMENTS} SELECT transaction_id, round(score, 6) AS fraud_score, rules AS triggered_rules FROM found")
+def stream_fraud_detection(spark, sf):
+    return detected(spark, sf).select("transaction_id", F.round("fraud_score", 6).alias("fraud_score"), F.array_join("triggered_rules", ",").alias("triggered_rules"))
+
+
+@query(f"WITH {PAYMENTS} SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01') AS window_start, count(*) AS transactions, count(*) FILTER (WHERE score > 0) AS alerts, round(coalesce(sum(price) FILTER (WHERE score > 0), 0), 4) AS alert_amount, round(max(score), 6) AS max_score, round(count(*) FILTER (WHERE score > 0) / count(*), 6) AS alert_rate FROM found GROUP BY 1")
+def stream_fraud_kpis(spark, sf):
+    return r(r(detection.kpis(detected(spark, sf), "1 day"), "max_score", "alert_rate"), "alert_amount", digits=4)
+
+
+@query(f"WITH {SALES} SELECT DISTINCT customer_id, payment_method, time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '2000-01-01') AS slot FROM sales")
+def stream_distinct_payments(spark, sf):
+    made = runs.drain(detection.distinct_payments(payments(streamed(spark, sf)), ["customer_id", "payment_method"]), "distinct-payments")
+    return made.select("customer_id", "payment_method", F.window("ts", "10 minutes")["start"].alias("slot"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start, count(*) AS events, round(avg(value), 6) AS mean, round(greatest(max(value) - avg(value), avg(value) - min(value)) / nullif(stddev(value), 0), 6) AS farthest, coalesce(greatest(max(value) - avg(value), avg(value) - min(value)) / nullif(stddev(value), 0) > 3, false) AS is_anomalous FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 6 HOUR, min(ts), TIMESTAMP '2000-01-01') + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_anomalous_windows(spark, sf):
+    made = runs.drain(detection.anomalous_windows(streamed(spark, sf), "value", "6 hours"), "anomalies")
+    return r(made, "mean", "farthest").select("window_start", "events", "mean", "farthest", "is_anomalous")

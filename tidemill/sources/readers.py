@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +27,25 @@ PARTITIONS = {
 }
 
 
-def read_files(spark: SparkSession, paths: str | list[str], fmt: str = "parquet", schema: T.StructType | str | None = None, stamp: bool = False, **options) -> DataFrame:
-    """parquet, orc, csv (with header), json and text files; stamp adds the file each row came from. Spark reads them in parallel."""
+Transform = Callable[[DataFrame], DataFrame]
+
+
+def read_files(spark: SparkSession, paths: str | list[str], fmt: str = "parquet", schema: T.StructType | str | None = None, stamp: bool = False, transform: Transform | None = None, **options) -> DataFrame:
+    """parquet, orc, csv (with header), json and text files; stamp adds the file each row came from, transform is applied last. Spark reads them in parallel."""
     reader = spark.read.format(fmt).options(**({"header": True} | options if fmt == "csv" else options))
     df = (reader.schema(schema) if schema else reader).load(paths)
-    return df.withColumn("source_file", F.col("_metadata.file_path")) if stamp else df
+    df = df.withColumn("source_file", F.col("_metadata.file_path")) if stamp else df
+    return transform(df) if transform else df
+
+
+def export(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite", compression: str | None = None) -> None:
+    """A report as json, csv (with header), parquet or orc files, by all tasks; nested columns go to csv as JSON."""
+    if fmt not in ("json", "csv", "parquet", "orc"):
+        raise ValueError(f"not a format for exports: {fmt!r}")
+    if fmt == "csv":
+        df = df.withColumns({f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType)})
+    writer = df.write.mode(mode).format(fmt).options(**({"header": True} if fmt == "csv" else {}))
+    (writer.option("compression", compression) if compression else writer).save(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 4, **options) -> DataFrame:
@@ -59,13 +75,14 @@ def parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("_p"), *kept).select("_p.*", *[c for c in ("kafka_key", "topic", "partition", "offset", "kafka_timestamp") if any(c in str(k) for k in kept)])
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int | None = None, ts: str | None = None, watermark: str | None = None) -> DataFrame:
-    """A folder as a stream; timestamps without zone become timestamps, which watermarks need."""
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int | None = None, ts: str | None = None, watermark: str | None = None, transform: Transform | None = None) -> DataFrame:
+    """A folder as a stream; timestamps without zone become timestamps, which watermarks need. transform is applied last."""
     reader = spark.readStream.format(fmt).schema(schema)
     df = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
     if ts:
         df = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    return df.withWatermark(ts, watermark) if watermark else df
+    df = df.withWatermark(ts, watermark) if watermark else df
+    return transform(df) if transform else df
 
 
 def write_stream(df: DataFrame, fmt: str, checkpoint: str, path: str | None = None, mode: str = "append", trigger: str | None = None, partitions: list[str] | None = None, name: str | None = None) -> StreamingQuery:
@@ -95,9 +112,12 @@ def write_partitioned(df: DataFrame, path: str, data_type: str, mode: str = "app
     made.write.mode(mode).option("compression", "snappy").partitionBy(*columns).parquet(path)
 
 
-def read_partitioned(spark: SparkSession, path: str, partitions: dict[str, object] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Equality or membership for each partition column, and the columns asked for; both reach the scan."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+def read_partitioned(spark: SparkSession, path: str, partitions: dict[str, object] | None = None, columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Equality or membership for each partition column, and the columns asked for; both reach the scan.
+
+    With a schema no file is opened to find it; without one, files of different schemas are merged.
+    """
+    df = spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", True).parquet(path)
     for name, value in (partitions or {}).items():
         df = df.filter(F.col(name).isin(*value) if isinstance(value, list | tuple | set) else F.col(name) == value)
     return df.select(*columns) if columns else df

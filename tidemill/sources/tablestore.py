@@ -80,7 +80,8 @@ class TableStore:
         (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.root}/{table}/{folder}")
         schema = df.schema if not keep else merged(T.StructType.fromJson(json.loads(before["schema"])), df.schema)
         entry = {"version": before["version"] + 1 if before else 0, "time": time.time(), "operation": operation, "folders": [*keep, folder], "schema": schema.json(), "partitions": partitions, "properties": (before or {}).get("properties", {})}
-        entry["rows"] = self._read(table, entry).count()
+        # Rows of the folder that was written, from its files' footers; those of the folders that are kept are known.
+        entry["rows"] = (before["rows"] if keep else 0) + self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}/{folder}").count()
         return self._commit(table, entry)
 
     def _read(self, table: str, entry: dict) -> DataFrame:
@@ -196,6 +197,40 @@ class TableStore:
         """Deletes a person's rows; vacuum() then removes them from storage."""
         return self.delete(table, f"{column} = " + (f"'{value}'" if isinstance(value, str) else str(value)))
 
+    def tables(self) -> list[str]:
+        return sorted(name for name, _, _ in self._list(self.root) if self.exists(name))
+
+    def maintain(self, jobs: tuple[str, ...] = ("optimize", "vacuum"), target_mb: int = 128, retention_hours: float = 168, rules: dict[str, tuple[str, int, int]] | None = None, as_of: str | None = None) -> DataFrame:
+        """Runs the jobs (retain, optimize, vacuum) over all tables: table, job, version, rows, files and what became of it, a row for each.
+
+        rules: for retain, the time column and days of hot and of all rows, by table. A job that fails, because another writer
+        was first for instance, is reported and does not stop the others.
+        """
+        out = []
+        for table in self.tables():
+            for job in jobs:
+                outcome = "done"
+                try:
+                    if job == "retain":
+                        if rules and table in rules:
+                            self.retain(table, *rules[table], as_of)
+                        else:
+                            outcome = "no rule"
+                    elif job == "optimize":
+                        if self.describe(table)["files"] > 1:
+                            self.optimize(table, target_mb)
+                        else:
+                            outcome = "one file"
+                    elif job == "vacuum":
+                        self.vacuum(table, retention_hours)
+                    else:
+                        raise ValueError(f"not a job: {job!r}")
+                except ConcurrentCommit as e:
+                    outcome = str(e)
+                d = self.describe(table)
+                out.append((table, job, d["version"], d["rows"], d["files"], outcome))
+        return self.spark.createDataFrame(out, "table string, job string, version long, rows long, files long, outcome string")
+
     def recommendations(self, table: str, deleted: int = 0) -> list[tuple[str, int]]:
         """What to do about a table, with its points."""
         d = self.describe(table)
