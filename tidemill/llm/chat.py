@@ -24,16 +24,23 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def stale_replies(turns: Column) -> Column:
-    """A rejected form of a conversation: from its middle on, each assistant turn repeats the one before it (empty: none)."""
+    """A rejected form of a conversation: from its middle on, each assistant turn repeats the one before it (empty: none).
 
-    def before(found: Column, i: Column) -> Column:
-        earlier = F.filter(F.slice(found, 1, i), lambda x: x["role"] == "assistant")
-        return F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["text"]).otherwise(F.lit(""))
+    The assistant's turns are taken out, shifted by one, and sorted in again, so the work is that of a sort of the turns.
+    """
+
+    def swap(found: Column) -> Column:
+        numbered = F.transform(found, lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"), t["text"].alias("text")))
+        mine = lambda t: F.coalesce(t["role"] == "assistant", F.lit(False))
+        middle = F.floor(F.size(found) / 2)
+
+        def shifted(talk: Column) -> Column:
+            before = lambda j: F.when(j > 0, F.get(talk, j - 1)["text"]).otherwise(F.lit(""))
+            return F.transform(talk, lambda t, j: F.struct(t["i"].alias("i"), t["role"].alias("role"), F.when(t["i"] >= middle, before(j)).otherwise(t["text"]).alias("text")))
+
+        both = F.concat(F.filter(numbered, lambda t: ~mine(t)), let(F.filter(numbered, mine), shifted))
+        return F.transform(F.array_sort(both), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
-    swap = lambda found: F.transform(
-        found,
-        lambda t, i: F.struct(t["role"].alias("role"), F.when((t["role"] == "assistant") & (i >= F.floor(F.size(found) / 2)), before(found, i)).otherwise(t["text"]).alias("text")),
-    )
     return let(turns, swap)
 
 
@@ -73,7 +80,7 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     """pairs (chosen, rejected: arrays of role and text; any other columns stay) with prompt_turns, prompt,
     chosen_completion, rejected_completion, chosen_spans and rejected_spans.
 
-    A null or empty conversation has no turns. Null roles and texts are rendered empty and are equal
+    A conversation is one row, before and after, however many turns it has; texts are rendered whole. A null or empty conversation has no turns. Null roles and texts are rendered empty and are equal
     to each other, not to empty ones. Equal conversations have empty completions. Repeated rows
     stay; columns named like the new ones are replaced; an empty table gives an empty result.
     """
