@@ -306,13 +306,6 @@ def first_pairs(sets: DataFrame) -> DataFrame:
     return members.join(lead, "key").filter("set <> b").select(F.col("set").alias("a"), "b").distinct()
 
 
-def group_pairs(sets: DataFrame) -> DataFrame:
-    """Of the groups (sets of one root) that meet in a key, each one's least set there with the least of all."""
-    each = sets.select("set", "root", F.explode("keys").alias("key")).groupBy("key", "root").agg(F.min("set").alias("a"))
-    lead = each.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return each.join(lead, "key").filter("a <> b").select("a", "b").distinct()
-
-
 def compared(sets: np.ndarray, root: np.ndarray, shingles: pa.ListArray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
     """Links between members (places) on the left and on the right that connect different roots, one for each two roots; all shingles are counted."""
     starts, ids = shingles.offsets.to_numpy()[:-1], np.unique(shingles.flatten().to_numpy(), return_inverse=True)[1]
@@ -386,11 +379,10 @@ def missing_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, keys).
 
-    Sets are compared in full with the least one of their key in the first bands, which links most copies; then groups that
-    still meet in a key, each by one of its sets; then all pairs of sets that share a key and are not linked by then.
+    Sets are compared in full with the least one of their key in the first bands, which links most of a large group; then
+    with all sets that share any key and are not linked to them by then.
     """
     links = similar(first_pairs(sets), docs, sets)
-    links = links.union(similar(group_pairs(rooted(sets, links)), docs, sets))
     return components(links.union(missing_links(materialize(rooted(sets, links), "near-roots"), docs)))
 
 
