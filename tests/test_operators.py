@@ -253,3 +253,38 @@ def test_ranges_of_equal_values_are_cut(spark):
         got = [r["id"] for r in ranking.with_row_number(rows, "n", F.col(name), "id").orderBy("n").collect()]
         want = sorted(range(20_000), key=lambda i: ((1 if i % 10 else i), i) if name == "v" else ((i if i % 4 else -1), i))
         assert got == want
+
+
+def test_traffic_goes_by_the_hash_of_the_key(spark):
+    xxhash = pytest.importorskip("xxhash")
+    shares = {"v1": 0.5, "v2": 0.2, "v3": 0.3}
+    got = {r["k"]: r["model_version"] for r in ml.route(spark.range(-2000, 2000).withColumnRenamed("id", "k"), "k", shares).collect()}
+
+    def version(key):
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        at = (h - (1 << 64) if h >> 63 else h) % 10_000 / 10_000
+        return "v1" if at < 0.5 else "v2" if at < 0.7 else "v3"
+
+    assert got == {k: version(k) for k in range(-2000, 2000)}
+
+
+def test_streamed_detection_sees_across_batches_and_takes_refreshed_scores(spark, tmp_path):
+    from tidemill.streaming import detection
+
+    rows = [(i, 1 + i % 2, 7, 10.0 * i, at(20 * i), "paypal" if i % 3 else "cash") for i in range(12)]
+    schema = "transaction_id long, customer_id long, merchant_id long, price double, ts timestamp, payment_method string"
+    for i in range(0, 12, 4):
+        spark.createDataFrame(rows[i : i + 4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    asked = []
+
+    def scores():
+        asked.append(1)
+        return spark.createDataFrame([(7, len(asked) / 10, "LOW")], "merchant_id long, merchant_risk_score double, merchant_risk_level string")
+
+    rules = (fraud.Rule("burst", "transaction_count_1d > 3", "HIGH"),)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    detection.detect(stream, f"file://{tmp_path}", f"file://{tmp_path}/check", rules, scores, {"1d": "1 day"}).awaitTermination()
+    got = {r["transaction_id"]: r for r in detection.scored(spark, f"file://{tmp_path}").collect()}
+    whole = {r["transaction_id"]: r for r in fraud.detect(spark.createDataFrame(rows, schema), None, rules, {"1d": "1 day"}).collect()}
+    assert len(got) == 12 and all(got[i]["transaction_count_1d"] == whole[i]["transaction_count_1d"] and got[i]["fraud_score"] == whole[i]["fraud_score"] for i in range(12))
+    assert len({got[i]["merchant_risk_score"] for i in range(12)}) == 3

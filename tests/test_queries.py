@@ -11,7 +11,7 @@ def test_query_equals_sql(spark, sf, name):
     same(QUERIES[name](spark, sf), ORACLE_SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"fraud_model_ensemble", "fraud_feature_importance", "geo_cluster_places", "geo_cluster_performance"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
