@@ -122,5 +122,6 @@ def judge(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of docs that judge() keeps, repeated ones too, with all their columns as they were, whatever their names."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    made = judged(docs.select(row, "doc_id", "text"), labels, **params).filter("kept")
-    return made.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    made = judged(docs.select(row, "doc_id", "text"), labels, **params)
+    # A filter would move below the projections and compute the words anew for each use of them.
+    return made.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
