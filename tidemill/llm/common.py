@@ -92,10 +92,15 @@ def ship(spark: SparkSession) -> None:
     sc._tidemill_shipped = True
 
 
-def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
+def map_batches(df: DataFrame, f, schema: str, keep: bool = False) -> DataFrame:
+    """df.mapInArrow, with this package on the executors. Workers drop what earlier stages kept on them, unless `keep`."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        return f(batches)
+
+    return df.mapInArrow(f if keep else run, schema)
 
 
 def words(text: Column) -> Column:
@@ -152,6 +157,13 @@ class WordCache(dict):
         return out
 
 
+def forget() -> None:
+    """Drops what on_worker() has kept on this worker process, and gives its memory back."""
+    if store := sys.__dict__.get("_tidemill_worker"):
+        store.clear()
+        trim()
+
+
 def on_worker(key: str, make):
     """A value made once for each Python worker process and kept for its later tasks."""
     store = sys.__dict__.setdefault("_tidemill_worker", {})

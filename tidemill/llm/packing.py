@@ -128,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, leas
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return map_batches(docs.select("doc_id", "text", *["_pos"] * placed), run, ", ".join(f"{n} long" for n in longs) + ", ids array<long>" * with_ids)
+    return map_batches(docs.select("doc_id", "text", *["_pos"] * placed), run, ", ".join(f"{n} long" for n in longs) + ", ids array<long>" * with_ids, keep=True)
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
