@@ -373,7 +373,10 @@ def plain_distinct(texts):
     return sorted(set(root))
 
 
-def test_distinct_documents_with_many_families_in_one_group(spark):
+@pytest.mark.parametrize("block, wanted", [(4096, 200_000), (5, 0)])
+def test_distinct_documents_with_many_families_in_one_group(spark, monkeypatch, block, wanted):
+    monkeypatch.setattr(simhash, "KEY_BLOCK", block)
+    monkeypatch.setattr(simhash, "MOST_WANTED", wanted)
     shared = [f"shared{i}" for i in range(500)]
     found = []
     for family in range(12):  # 0.76 between families

@@ -229,6 +229,8 @@ BANDS, BAND_ROWS = 25, 5
 FIRST_BANDS = 3
 #: About as many members of a key as a task has on each side of its comparisons.
 KEY_BLOCK = 4096
+#: Places of texts are broadcast up to this number, beyond which they are joined by a shuffle.
+MOST_WANTED = 200_000
 SHINGLE_BLOCK = 4096
 _MADE = np.random.default_rng(SEED)
 FACTORS = _MADE.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -278,8 +280,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def shingles_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The shingles of the wanted sets (set), from the texts of docs (_file, _at, text)."""
-    wanted = wanted.distinct().join(sets.select("set", "rep._file", "rep._at"), "set")
-    return materialize(shingle_sets(docs.join(wanted, ["_file", "_at"]).select("set", "text")), "near-shingles")
+    wanted = materialize(wanted.distinct().join(sets.select("set", "rep._file", "rep._at"), "set"), "near-wanted")
+    few = wanted.count() <= MOST_WANTED  # then texts need not travel
+    found = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), ["_file", "_at"]).select("set", "text")
+    return materialize(shingle_sets(found), "near-shingles")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
