@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.ranking import with_ntiles, with_percent_rank
-from tidemill.functions.scalars import ratio
+from tidemill.functions.scalars import bands, ratio
 
 # Scores of each segment, for five and for four tiles.
 SEGMENTS_5 = {
@@ -54,6 +54,10 @@ ACTIONS = {
     "Lost": "Revive interest with reach out campaign. Ignore otherwise.",
 }
 OTHERWISE = "Need Attention"
+# Tiers by the monetary score, and levels by the least scores of recency and frequency, the first that holds.
+TIERS = [(4, "High Value"), (3, "Medium Value")]
+LOW_TIER = "Low Value"
+LEVELS = (("Highly Engaged", 4, 4), ("Moderately Engaged", 3, 3), ("Recently Active", 3, 0), ("Frequent but Dormant", 0, 3), ("Low Engagement", 0, 0))
 
 
 def metrics(tx: DataFrame, as_of: str, customer: str = "customer_id", ts: str = "ts", amount: str = "amount") -> DataFrame:
@@ -85,10 +89,9 @@ def segments(scored: DataFrame, tiles: int = 5) -> DataFrame:
 
 
 def classes(df: DataFrame) -> DataFrame:
-    r, f, m = F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score")
-    tier = F.when(m >= 4, "High Value").when(m >= 3, "Medium Value").otherwise("Low Value")
-    level = F.when((r >= 4) & (f >= 4), "Highly Engaged").when((r >= 3) & (f >= 3), "Moderately Engaged").when(r >= 3, "Recently Active").when(f >= 3, "Frequent but Dormant").otherwise("Low Engagement")
-    return df.withColumns({"customer_value_tier": tier, "engagement_level": level})
+    """The customer's value by what they spend, and how engaged they are by how lately and how often they buy."""
+    levels = [F.when((F.col("recency_score") >= r) & (F.col("frequency_score") >= f), name) for name, r, f in LEVELS]
+    return df.withColumns({"customer_value_tier": bands(F.col("monetary_score"), TIERS, LOW_TIER), "engagement_level": F.coalesce(*levels, F.lit(LEVELS[-1][0]))})
 
 
 def profiles(tx: DataFrame, as_of: str, **columns: str) -> DataFrame:
