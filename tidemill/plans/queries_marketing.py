@@ -198,10 +198,10 @@ def cac_cohorts(spark, sf):
     return r(r(at.acquisition_cohorts(spending(spark, sf), acquired(spark, sf)), "cohort_cac"), "spend", "value", digits=4)
 
 
-@query(f"""WITH {CAC}, e AS (SELECT channel, cac / avg(cac) OVER () AS x, v / avg(v) OVER () AS y FROM cac) SELECT channel, round(x, 6) AS cac_vs_average, round(y, 6) AS value_vs_average, round(y / nullif(x, 0), 6) AS efficiency_index, CAST(row_number() OVER (ORDER BY y / nullif(x, 0) DESC NULLS LAST, channel) AS INTEGER) AS priority FROM e""")
+@query(f"""WITH {CAC}, e AS (SELECT channel, cac / avg(cac) OVER () AS x, v / avg(v) OVER () AS y FROM cac) SELECT channel, round(x, 6) AS cac_vs_average, round(y, 6) AS value_vs_average, round(y / nullif(x, 0), 6) AS efficiency_index, CAST(row_number() OVER (ORDER BY y / nullif(x, 0) DESC NULLS LAST, channel) AS INTEGER) AS priority, CASE WHEN y / nullif(x, 0) > 1.2 THEN 'High Priority' WHEN y / nullif(x, 0) > 0.8 THEN 'Medium Priority' ELSE 'Low Priority' END AS channel_priority FROM e""")
 def cac_channel_efficiency(spark, sf):
     made = at.channel_efficiency(at.acquisition_cost(spending(spark, sf), acquired(spark, sf)))
-    return r(made, "cac_vs_average", "value_vs_average", "efficiency_index").select("channel", "cac_vs_average", "value_vs_average", "efficiency_index", "priority")
+    return r(made, "cac_vs_average", "value_vs_average", "efficiency_index").select("channel", "cac_vs_average", "value_vs_average", "efficiency_index", "priority", "channel_priority")
 
 
 @query(f"WITH {CAC} SELECT round(sum(spend), 4) AS total_spend, CAST(sum(acquisitions) AS BIGINT) AS total_acquisitions, count(*) AS channels, round(min(cac), 6) AS best_cac, round(max(cac), 6) AS worst_cac, round(sum(spend) / sum(acquisitions), 6) AS blended_cac FROM cac")
@@ -238,6 +238,13 @@ def roi_by_campaign(spark, sf):
     return sums(at.roi_by(returns(spark, sf), "campaign_id"))
 
 
+@query(f"""WITH {ROI}, a AS (SELECT sum(spend) AS s, sum(revenue) AS v, avg((revenue - spend) / spend) AS x, avg(revenue / spend) AS y, count(*) AS n FROM m) SELECT round(s, 4) AS total_marketing_spend, round(v, 4) AS total_attributed_revenue, round(x, 6) AS average_campaign_roi, round(y, 6) AS average_campaign_roas, n AS total_campaigns_analyzed,
+  round((v - s) / s, 6) AS overall_roi, round(v / s, 6) AS overall_roas, CASE WHEN (v - s) / s > 2 THEN 'Excellent' WHEN (v - s) / s > 0.5 THEN 'Good' ELSE 'Poor' END AS roi_efficiency FROM a""")
+def roi_summary(spark, sf):
+    made = at.roi_summary(returns(spark, sf))
+    return r(r(made, "average_campaign_roi", "average_campaign_roas", "overall_roi", "overall_roas"), "total_marketing_spend", "total_attributed_revenue", digits=4)
+
+
 @query(f"WITH {ROI}, g AS (SELECT channel, period, (sum(revenue) - sum(spend)) / sum(spend) AS roi FROM m GROUP BY 1, 2) SELECT channel, period, round(roi, 6) AS roi, round(roi - lag(roi) OVER (PARTITION BY channel ORDER BY period), 6) AS roi_change FROM g")
 def roi_trends(spark, sf):
     return r(at.roi_trends(returns(spark, sf)), "roi", "roi_change").select("channel", "period", "roi", "roi_change")
