@@ -288,3 +288,30 @@ def test_streamed_detection_sees_across_batches_and_takes_refreshed_scores(spark
     whole = {r["transaction_id"]: r for r in fraud.detect(spark.createDataFrame(rows, schema), None, rules, {"1d": "1 day"}).collect()}
     assert len(got) == 12 and all(got[i]["transaction_count_1d"] == whole[i]["transaction_count_1d"] and got[i]["fraud_score"] == whole[i]["fraud_score"] for i in range(12))
     assert len({got[i]["merchant_risk_score"] for i in range(12)}) == 3
+
+
+def test_retention_rules():
+    from tidemill.sources import retention
+
+    assert retention.problems(retention.RULES) == [] and not retention.rule_for("anything").enabled
+    assert retention.problems({"t": retention.Rule(30, 30, 10, None, 5, "ts")}) == ["t: hot (30 days) must be less than warm (30 days)", "t: warm (30 days) must be less than cold (10 days)", "t: cold (10 days) must be less than delete (5 days)"]
+
+
+def test_options_of_connectors():
+    got = readers.kafka_options("a:9092", "orders", startingOffsets="earliest", maxOffsetsPerTrigger=100)
+    assert got == {"kafka.bootstrap.servers": "a:9092", "subscribe": "orders", "failOnDataLoss": "false", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "100"}
+
+
+def test_jdbc_reads_in_parts(spark):
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = "jdbc:derby:memory:shop;create=true"
+    try:
+        spark.range(100).selectExpr("CAST(id AS INT) AS id", "CAST(id * 2 AS DOUBLE) AS v").write.format("jdbc").option("url", url).option("dbtable", "T").mode("overwrite").save()
+    except Exception as e:
+        if "driver" in str(e).lower():
+            pytest.skip("no embedded database on the class path")
+        raise
+    got = readers.read_jdbc(spark, url, "SELECT * FROM T WHERE \"id\" >= 20", "id", (20, 100), 4)
+    assert got.rdd.getNumPartitions() == 4 and sorted(r["v"] for r in got.collect()) == [2.0 * i for i in range(20, 100)]
+    with pytest.raises(ValueError):
+        readers.read_jdbc(spark, url, "SELECT * FROM T", "id")

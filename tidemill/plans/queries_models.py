@@ -8,7 +8,7 @@ from tidemill.operators import cases, clv, ml
 from tidemill.plans.bindings import AS_OF, TX, behavior, table, transactions
 from tidemill.plans.queries_fraud import PAY, pay
 from tidemill.plans.registry import query
-from tidemill.sources import catalog, readers
+from tidemill.sources import catalog, readers, retention
 from tidemill.sources.tablestore import TableStore
 from tidemill.streaming import runs
 
@@ -279,3 +279,25 @@ def report_exports(spark, sf):
         made = readers.read_files(spark, f"{at}/{fmt}", fmt, schema=df.drop("segments").schema if fmt != "csv" else "c_custkey long, c_acctbal double, segments string", transform=lambda x, fmt=fmt: x.select(F.lit(fmt).alias("fmt"), "c_acctbal"))
         out = made if out is None else out.unionByName(made)
     return out.groupBy("fmt").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT CASE WHEN d > 2555 THEN 'delete' WHEN d > 2190 THEN 'archive' WHEN d <= 30 THEN 'hot' WHEN d <= 90 THEN 'warm' ELSE 'cold' END AS tier, count(*) AS rows FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS d FROM orders) GROUP BY 1")
+def lake_retention_tiers(spark, sf):
+    return retention.distribution(transactions(spark, sf), retention.rule_for("transactions"), "1998-08-02", "ts")
+
+
+@query("SELECT 'orders' AS \"table\", count(*) AS rows, CAST(1 AS BIGINT) AS version, 'sales' AS owner, 'o_orderpriority' AS partitioned_by, true AS has_files FROM orders")
+def lake_table_description(spark, sf):
+    """Rows, version, properties and partitions of a table, and whether its files are found and measured."""
+    store = TableStore(spark, runs.folder(spark, "description"))
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    store.create("orders", df.schema, ["o_orderpriority"], {"owner": "sales"})
+    store.append("orders", df)
+    d = store.describe("orders")
+    return spark.createDataFrame([("orders", d["rows"], d["version"], d["properties"]["owner"], ",".join(d["partitions"]), d["files"] > 0 and d["bytes"] > 0)], "table string, rows long, version long, owner string, partitioned_by string, has_files boolean")
+
+
+@query("SELECT * FROM (VALUES (1, 2), (2, 1)) t(distance, assets)".replace("SELECT *", "SELECT CAST(distance AS INTEGER) AS distance, CAST(assets AS BIGINT) AS assets"))
+def lake_impact(spark, sf):
+    edges = spark.createDataFrame([("orders", "revenue", "sum"), ("orders", "baskets", "group"), ("revenue", "dashboard", "view")], catalog.EDGE)
+    return catalog.impact(edges, "orders")
