@@ -315,3 +315,22 @@ def test_jdbc_reads_in_parts(spark):
     assert got.rdd.getNumPartitions() == 4 and sorted(r["v"] for r in got.collect()) == [2.0 * i for i in range(20, 100)]
     with pytest.raises(ValueError):
         readers.read_jdbc(spark, url, "SELECT * FROM T", "id")
+
+
+def test_scores_are_refreshed_when_they_are_old(spark, tmp_path):
+    from tidemill.streaming import detection
+
+    now, made = [0.0], []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(len(made),)], "n int")
+
+    scores = detection.Refreshed(make, f"file://{tmp_path}", 60, clock=lambda: now[0])
+    seen = []
+    for t in (0, 30, 60, 61, 100, 200):
+        now[0] = t
+        seen.append(scores().first()["n"])
+    assert seen == [1, 1, 1, 2, 2, 3]
+    model = detection.Refreshed(lambda: made.append(1) or len(made), "", 10, write=False, clock=lambda: now[0])
+    assert model() == model()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,31 @@ from tidemill.operators import fraud
 SPAN = "7 days"
 
 
+class Refreshed:
+    """A frame, such as the scores of merchants, that is made and written anew when it is asked for after more than `seconds`.
+
+    In between, the one that was written last is read. What is asked for its own sake only (a model to serve, say) can be any value
+    if `write` is False.
+    """
+
+    def __init__(self, make: Callable[[], DataFrame], root: str, seconds: float, write: bool = True, clock: Callable[[], float] = time.monotonic):
+        self.make, self.root, self.seconds, self.write, self.clock = make, root.rstrip("/"), seconds, write, clock
+        self.at: float | None = None
+        self.number = 0
+        self.value = None
+
+    def __call__(self):
+        now = self.clock()
+        if self.at is None or now - self.at > self.seconds:
+            made = self.make()
+            if self.write:
+                path = f"{self.root}/version={self.number}"
+                made.write.mode("overwrite").parquet(path)
+                made = made.sparkSession.read.schema(made.schema).parquet(path)
+            self.value, self.at, self.number = made, now, self.number + 1
+        return self.value
+
+
 def detect(
     payments: DataFrame, root: str, checkpoint: str, rules: tuple[fraud.Rule, ...] = fraud.DEFAULT_RULES, merchant_scores: Callable[[], DataFrame] | None = None, spans: dict[str, str] | None = None, longest: str = SPAN, trigger: str | None = None
 ) -> StreamingQuery:
