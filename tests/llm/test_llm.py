@@ -534,14 +534,15 @@ def test_katz_against_brute_force(spark):
     check_katz(katz.score(docs(spark, rows)).collect(), brute_katz(rows))
 
 
-@pytest.mark.parametrize("frequent, row_pairs, buckets", [(0, 3, 7), (10, 2, 128), (40, 1 << 16, 1)])
-def test_katz_in_many_blocks_and_buckets(spark, monkeypatch, frequent, row_pairs, buckets):
+@pytest.mark.parametrize("frequent, row_pairs, buckets, bucket_tokens", [(0, 3, 7, 10**6), (10, 2, 128, 10**6), (40, 1 << 16, 1, 10**6), (400, 5, 60, 200)])
+def test_katz_in_many_blocks_and_buckets(spark, monkeypatch, frequent, row_pairs, buckets, bucket_tokens):
     rng = np.random.default_rng(3)
     rows = [(i, f"{PROSE if i % 3 else ''} number {i} {'x' * (i % 3)} " + " ".join(f"v{int(x)}" for x in rng.zipf(1.3, 80) % 997), "en", "a") for i in range(120)]
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(katz, "FREQUENT", frequent)
     monkeypatch.setattr(katz, "ROW_PAIRS", row_pairs)
     monkeypatch.setattr(katz, "LEAST_BUCKETS", buckets)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", bucket_tokens)
     check_katz(katz.score(docs(spark, rows)).collect(), brute_katz(rows))
 
 

@@ -11,13 +11,14 @@ pairs (a word with its histories and their counts) and histories (history, c, we
 
 Documents form blocks, which are written as streams of word numbers. A block deals its distinct pairs,
 counted already, to buckets by word, and gets back how often each was seen and how often each word; so a frequent pair
-is one entry a block. Words of more than 1/4096 of all tokens (so at most 4096 words) are dealt by their history instead.
+is one entry a block. Of the FREQUENT most frequent words, those of more than 1/4096 of all tokens, or of more than a bucket's tokens, are
+dealt by word and history, over all buckets.
 Histories' sums are one aggregation over the pairs. Each token is then evaluated recursively, in its block:
 a seen pair by its count, any other by the backoff weight of its history and its word. Weights of the FREQUENT most
 frequent histories are known to all tasks, the others are asked for by join.
 
-A block sends a bucket one row, and never more rows than it has words, so rows grow with the corpus however many blocks and
-buckets there are.
+A block sends a bucket one row, and never more rows than it has words and pairs, so rows grow with the corpus however many blocks
+and buckets there are.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ K = 5
 BLOCK_TOKENS = 3_000_000
 BUCKET_TOKENS = 1_500_000
 LEAST_BUCKETS = 128
+#: An odd number by which the pairs of words that are split go round the buckets.
+STRIDE = 0x9E3779B1
 #: At most so many of the most frequent words are known to all tasks.
 FREQUENT = 1 << 16
 #: Histories in one row of the table of pairs.
@@ -191,8 +194,8 @@ def deal(made: DataFrame, frequent: np.ndarray, split: np.ndarray, buckets: int)
     """bucket, block, blob: what a block has for a bucket, its words there and its distinct pairs.
 
     A blob has the words' hashes and training counts; how many pairs each begins; the pairs' histories (places in `frequent`,
-    sorted hashes, or beyond these in a list of the blob's own) and training counts; that list; and of the words in `split` those
-    pairs whose history is in the bucket: places of the word in `split`, of the history among the blob's words, counts.
+    sorted hashes, or beyond these in a list of the blob's own) and training counts; that list; and the pairs of words in `split`
+    that go there: places of the word in `split`, the history and the count as before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,22 +216,24 @@ def deal(made: DataFrame, frequent: np.ndarray, split: np.ndarray, buckets: int)
                 to = bucket_of(hashes, buckets)
                 in_split = np.searchsorted(split, hashes)
                 is_split = split[np.minimum(in_split, max(0, len(split) - 1))] == hashes if len(split) else np.zeros(len(hashes), bool)
-                apart = np.flatnonzero(is_split[w])
-                apart = apart[np.argsort(to[h[apart]], kind="stable")]
-                alone = np.flatnonzero(~is_split[w])
                 at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
                 is_frequent = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), bool)
-                there = np.unique(to)
-                edges = [np.stack([np.searchsorted(x, there), np.searchsorted(x, there, "right")], axis=1) for x in (to, to[w[alone]], to[h[apart]])]
+                alone, apart = np.flatnonzero(~is_split[w]), np.flatnonzero(is_split[w])
+                far_to = (to[h[apart]] + at[w[apart]] * STRIDE) % buckets
+                order = np.argsort(far_to, kind="stable")
+                apart, far_to = apart[order], far_to[order]
+                there = np.union1d(to, far_to)
+                edges = [np.stack([np.searchsorted(x, there), np.searchsorted(x, there, "right")], axis=1) for x in (to, to[w[alone]], far_to)]
                 rows = []
                 for bucket, (a, b), (c, d), (e, f) in zip(there.tolist(), *(x.tolist() for x in edges), strict=True):
                     own, far = alone[c:d], apart[e:f]
-                    history = h[own]
+                    history = h[np.concatenate([own, far])]
                     rare = ~is_frequent[history]
                     listed, place = np.unique(history[rare], return_inverse=True)
                     number = at[history]
                     number[rare] = len(frequent) + place
-                    blob = packed(steps(hashes[a:b]), total[a:b], small(np.bincount(w[own] - a, minlength=b - a)), small(number), small(count[own]), steps(hashes[listed]), small(in_split[w[far]]), small(h[far] - a), small(count[far]))
+                    near, beyond = number[: len(own)], number[len(own) :]
+                    blob = packed(steps(hashes[a:b]), total[a:b], small(np.bincount(w[own] - a, minlength=b - a)), small(near), small(count[own]), steps(hashes[listed]), small(in_split[w[far]]), small(beyond), small(count[far]))
                     rows.append((bucket, blob))
                 for i in range(0, len(rows), 64):
                     part = rows[i : i + 64]
@@ -268,21 +273,17 @@ def count_pairs(dealt: DataFrame, frequent: np.ndarray, split: np.ndarray, split
         offset = np.zeros(len(got), np.int64)
         for apart in (False, True):
             if apart:
-                w_name, w_total = split, split_c
-                w = [x[6].astype(np.int64) for x in got]
-                h_name, h = word, [x[y[7]] for x, y in zip(word_of, got, strict=True)]
-                count = np.concatenate([x[8] for x in got]).astype(np.int64)
+                w_name, w_total, w = split, split_c, [x[6].astype(np.int64) for x in got]
             else:
-                w_name, w_total = word, total
-                w = [np.repeat(x, y[2]) for x, y in zip(word_of, got, strict=True)]
-                codes = [y[3].astype(np.int64) for y in got]
-                used = [np.flatnonzero(np.bincount(x, minlength=1)) if len(x) else np.zeros(0, np.int64) for x in codes]
-                h_names = [np.concatenate([frequent, np.cumsum(y[5])])[u] for u, y in zip(used, got, strict=True)]
-                h_name, h_no = np.unique(np.concatenate(h_names), return_inverse=True)
-                ends = np.cumsum([0, *map(len, used)])
-                h = [h_no[a:b][np.searchsorted(u, x)] for a, b, u, x in zip(ends[:-1], ends[1:], used, codes, strict=True)]
-                count = np.concatenate([x[4] for x in got]).astype(np.int64)
-                del codes, used, h_names, h_no
+                w_name, w_total, w = word, total, [np.repeat(x, y[2]) for x, y in zip(word_of, got, strict=True)]
+            codes, count = ([x[i].astype(np.int64) for x in got] for i in ((7, 8) if apart else (3, 4)))
+            count = np.concatenate(count)
+            used = [np.flatnonzero(np.bincount(x, minlength=1)) if len(x) else np.zeros(0, np.int64) for x in codes]
+            h_names = [np.concatenate([frequent, np.cumsum(y[5])])[u] for u, y in zip(used, got, strict=True)]
+            h_name, h_no = np.unique(np.concatenate(h_names), return_inverse=True)
+            ends = np.cumsum([0, *map(len, used)])
+            h = [h_no[a:b][np.searchsorted(u, x)] for a, b, u, x in zip(ends[:-1], ends[1:], used, codes, strict=True)]
+            del codes, used, h_names, h_no
             sizes = np.array([len(x) for x in w], np.int64)
             pair, pair_at = np.unique(np.concatenate(w) * max(1, len(h_name)) + np.concatenate(h), return_inverse=True)
             del w, h
@@ -335,7 +336,7 @@ def history_weights(pairs: DataFrame, unigram: Column, d2: np.ndarray) -> DataFr
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def evaluate(parts: DataFrame, unigram: tuple[int, int, int, np.ndarray, float], d2: np.ndarray, frequent_weight: np.ndarray, start_weight: float) -> DataFrame:
+def evaluate(parts: DataFrame, unigram: tuple[int, int, int, np.ndarray, float], d2: np.ndarray, frequent_weight: np.ndarray, start_weight: float, least_split: float, buckets: int) -> DataFrame:
     """Scores of the documents of each block, from its stream (bucket null), the replies (blob) and answers (places, gain: log10 of a weight) to it."""
     n_train, n_types, starts, d1, unknown = unigram
 
@@ -359,9 +360,11 @@ def evaluate(parts: DataFrame, unigram: tuple[int, int, int, np.ndarray, float],
         w, h = key // s.n_words, key % s.n_words
         del key
         is_split = np.zeros(s.n_words, bool)
-        is_split[known] = c[known] > n_train / 4096
+        is_split[known] = c[known] > least_split
+        in_frequent = np.zeros(s.n_words, np.int64)
+        in_frequent[known] = place
         alone, apart = np.flatnonzero(~is_split[w]), np.flatnonzero(is_split[w])
-        apart = apart[np.argsort(of[h[apart]], kind="stable")]
+        apart = apart[np.argsort((bucket[replied].astype(np.int64)[of[h[apart]]] + in_frequent[w[apart]] * STRIDE) % buckets, kind="stable")]
         r = np.empty(len(w), np.int64)
         r[alone], r[apart] = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
         backoff = log_weight[h]
@@ -418,7 +421,8 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     top = unigrams.filter(often).toPandas()  # at most FREQUENT rows
     order = np.argsort(top["token"].to_numpy(np.int64).view(np.uint64))
     frequent, frequent_c = top["token"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.int64)[order]
-    is_split = frequent_c > n / 4096
+    least_split = min(n / 4096, BUCKET_TOKENS)
+    is_split = frequent_c > least_split
     buckets = max(LEAST_BUCKETS, int(n / (1 - 1 / held_out_fold)) // BUCKET_TOKENS)
     dealt = deal(in_blocks, frequent, frequent[is_split], buckets)
     counted = materialize(count_pairs(dealt, frequent, frequent[is_split], frequent_c[is_split]), "katz-pairs", partition_by="kind")
@@ -436,5 +440,5 @@ def score(docs: DataFrame, held_out_fold: int = 10) -> DataFrame:
     answers = asks.join(histories.select("history", "weight"), "history", "left").select("block", "bucket", "places", F.coalesce(F.log10("weight"), F.lit(0.0)).alias("gain"))
     parts = in_blocks.select("block", F.col("stream").alias("blob")).unionByName(counted.filter("kind = 'replies'").select("block", "bucket", "blob"), allowMissingColumns=True)
     parts = parts.unionByName(answers, allowMissingColumns=True)
-    each = evaluate(parts.select("block", "bucket", "blob", "places", "gain"), (n, v, ends, d1, unknown), d2, frequent_weight, logs.get(START_LONG, 0.0))
+    each = evaluate(parts.select("block", "bucket", "blob", "places", "gain"), (n, v, ends, d1, unknown), d2, frequent_weight, logs.get(START_LONG, 0.0), least_split, buckets)
     return each.select("doc_id", (fold(F.col("doc_id"), held_out_fold) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
