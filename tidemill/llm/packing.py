@@ -200,7 +200,7 @@ def harmonic_pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY, p
             rows = rows.append_column("_bin", pa.array([b + at for b, (at, _) in zip(base, placed, strict=True)], pa.int64()))
             yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
 
-    rest = map_batches(rest, run, schema)
+    rest = map_batches(rest, run, schema, keep=True)
     made = packed.select(*names, "_bin", "offset").unionByName(rest.select(*names, "_bin", "offset"))
     if not position:
         return made.withColumn("sequence_id", F.col("_bin")).select(*names, "sequence_id", "offset")
