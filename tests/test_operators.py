@@ -135,6 +135,25 @@ def test_baskets_without_repeats(spark):
     assert [r["items"] for r in product.baskets(df).collect()] == [[5, 6]]
 
 
+def test_itemsets_grow_by_rounds(spark, monkeypatch):
+    """As FP-growth finds them, without its trees; a long basket, and rare items that go first."""
+    from collections import Counter
+    from itertools import combinations
+
+    from pyspark.ml.fpm import FPGrowth
+
+    monkeypatch.setattr(FPGrowth, "fit", lambda *_: pytest.fail("all trees of a partition in memory"))
+    every = [[1, 2, 3, 4], [1, 2, 3], [1, 2, 4, 9], [2, 3], list(range(1, 9)), list(range(100, 160))]
+    count = Counter(x for b in every for n in range(1, 5 if len(b) > 9 else 9) for x in combinations(b, n))
+    sets, rules = product.frequent_itemsets(spark.createDataFrame(list(enumerate(every)), "transaction_id long, items array<long>"), 0.3, 0.5)
+    want = {x: n for x, n in count.items() if n >= 2}
+    assert {tuple(r["items"]): r["freq"] for r in sets.collect()} == want and max(map(len, want)) == 4
+    shares = {(tuple(a for a in x if a != b), b): n / want[tuple(a for a in x if a != b)] for x, n in want.items() if len(x) > 1 for b in x}
+    got = {(tuple(r["antecedent"]), r["consequent"][0]): r for r in rules.collect()}
+    assert {k: r["confidence"] for k, r in got.items()} == pytest.approx({k: c for k, c in shares.items() if c >= 0.5})
+    assert all(r["lift"] == pytest.approx(r["confidence"] / (want[k[1],] / 6)) for k, r in got.items())
+
+
 def test_item_similarity_of_users_with_many_products(spark):
     rows = [(u, p, 1.0 + (u * p) % 5) for u in (1, 2) for p in range(520)] + [(3, 0, 2.0), (3, 1, 3.0)]
     got = {(r["product_a"], r["product_b"]): (r["common"], r["similarity"]) for r in product.item_similarity(spark.createDataFrame(rows, "customer_id long, product_id long, rating double")).collect()}
