@@ -135,6 +135,19 @@ def test_baskets_without_repeats(spark):
     assert [r["items"] for r in product.baskets(df).collect()] == [[5, 6]]
 
 
+def test_rows_of_trailing_spans_travel_once(spark, sf, capsys):
+    tx = transactions(spark, sf).withColumnRenamed("amount", "price").withColumn("merchant_id", F.col("transaction_id") % 5)
+    fraud.velocity(tx).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
+
+
+def test_equal_revenues_are_ties_in_any_order_of_addition(spark):
+    rows = [(1, 0.3), (1, 0.2), (1, 0.1), (2, 0.1), (2, 0.2), (2, 0.3)]  # 0.6 and 0.6000000000000001
+    made = revenue.concentration(spark.createDataFrame(rows, "customer_id long, revenue double").coalesce(1), "customer_id")
+    assert {r["customer_id"]: r["row_rank"] for r in made.collect()} == {1: 1, 2: 2}
+
+
 def test_itemsets_grow_by_rounds(spark, monkeypatch):
     """As FP-growth finds them, without its trees; a long basket, and rare items that go first."""
     from collections import Counter
