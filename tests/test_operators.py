@@ -142,6 +142,15 @@ def test_rows_of_trailing_spans_travel_once(spark, sf, capsys):
     assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
 
 
+def test_accuracy_of_rules_is_of_the_row(spark):
+    """Also where an alert's id repeats; a rule without history does not count, and none known is 0.5."""
+    rows = [(1, ["a", "b"]), (1, ["b", "new"]), (2, ["new"]), (3, [])]
+    alerts = spark.createDataFrame([(i, 1, 1, 10.0, at(0), "cash", "HIGH", r) for i, r in rows], "alert_id long, customer_id long, merchant_id long, price double, ts timestamp, payment_method string, max_severity string, triggered_rules array<string>")
+    history = spark.createDataFrame([("a", "TRUE_POSITIVE"), ("b", "FALSE_POSITIVE"), (None, "TRUE_POSITIVE")], "rule string, resolution string")
+    made = fraud.prioritize(alerts, F.lit(at(0)), history=history)
+    assert sorted((r["alert_id"], r["triggered_rules"], r["historical_accuracy_factor"]) for r in made.collect()) == [(1, ["a", "b"], 0.5), (1, ["b", "new"], 0.0), (2, ["new"], 0.5), (3, [], 0.5)]
+
+
 def test_equal_revenues_are_ties_in_any_order_of_addition(spark):
     rows = [(1, 0.3), (1, 0.2), (1, 0.1), (2, 0.1), (2, 0.2), (2, 0.3)]  # 0.6 and 0.6000000000000001
     made = revenue.concentration(spark.createDataFrame(rows, "customer_id long, revenue double").coalesce(1), "customer_id")
