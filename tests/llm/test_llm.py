@@ -698,6 +698,20 @@ def test_secrets_of_names_joined_with_themselves():
     assert secrets.spans(text) == []
 
 
+def test_secrets_of_any_length():
+    random = np.random.default_rng(11)
+    make = lambda n: "".join(random.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMN23456789"), n))
+    one, parts = make(20_000), [make(64) for _ in range(200)]
+    for text, want in (
+        (f"private_key = '{one}'", [one]),
+        ("client_key = " + " + ".join(f"'{x}'" for x in parts), parts),
+        ("a = ''\n" + "".join(f"a = a + '{x}'\n" for x in parts) + "a = a + a\n" * 2000 + "client_key = a\nauth_key = a + a", parts),
+        ("client_key = '" + one[:6000] + "' + 'chang' + 'eme' + '" + one[:6000] + "'", []),
+        ("client_key = '<' + '" + one + "' + '>'", []),
+    ):
+        assert [text[s[1] : s[2]] for s in secrets.spans(text) if s[0] == "literal"] == want
+
+
 def test_redaction(spark):
     df = clashing(spark)
     got = secrets.redact(df)

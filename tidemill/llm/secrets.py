@@ -37,7 +37,9 @@ SENSITIVE = {
 KEY_OF = {"api", "access", "private", "secret", "auth", "encryption", "signing", "client", "master", "account", "service"}
 #: A text without any of these has no sensitive name.
 STEMS = ("passw", "pwd", "passphrase", "secret", "token", "key", "credential", "auth", "bearer", "signature", "salt")
-PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|x{4,}|\*{3,}|.*(?:example|changeme|change_me|placeholder|your[_-]|dummy|todo|redacted).*|none|null|true|false)$")
+#: A value with one of these in it, or with ends like these, is a placeholder.
+PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|placeholder|your[_-]|dummy|todo|redacted")
+FRAMED = re.compile(r"<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*")
 NAME = re.compile(
     r"""(?<![A-Za-z0-9_.\-])(?P<q>["'`]?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)\]?[\x20\t]*"""
     r"""(?::[\x20\t]*[A-Za-z_][\w.\[\]]*[\x20\t]*(?==[^=]))?(?::=|=>|=(?![=>])|:(?!:))[\x20\t]*"""
@@ -46,8 +48,10 @@ VALUE = re.compile(r"""(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|&)?[\x20\t]*")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.5
-#: A longer value is text or data and no key.
+#: A longer value of which no more is different, as its literals repeat, is data and no key.
 LONGEST = 4096
+#: Characters at the ends of a value that are kept; more than any word of PLACEHOLDER has.
+EDGE = 16
 
 
 def sensitivity(name: str) -> float:
@@ -59,16 +63,63 @@ def sensitivity(name: str) -> float:
     return max(best, SENSITIVE.get(joined, 0.0))
 
 
-def strength(literal: str) -> float:
-    """0 to 1: how much a literal looks like a generated key."""
-    n = len(literal)
-    if n < 8 or PLACEHOLDER.match(literal) or re.search(r"\s", literal) or re.match(r"(?:https?|file|ftp)://|\.{0,2}/", literal):
+class Joined:
+    """The value of an assignment: what strength() asks of it, and the values or the place it is made of.
+
+    Numbers and ends of values add up and the values themselves are shared, so a value may be far longer than its text: n joins
+    cost n, also where names are joined with themselves.
+    """
+
+    def __init__(self, text: str = "", place: tuple[int, int] | None = None):
+        self.size, self.counts, self.head, self.tail = len(text), Counter(text), text[:EDGE], text[-EDGE:]
+        self.placeholder = bool(PLACEHOLDER.search(text))
+        self.place, self.made_of = place, []
+        #: The different literals, each once, as long as they have no more than LONGEST characters.
+        self.different: set[str] | None = {text} if len(text) <= LONGEST else None
+        self.fresh = len(text)
+
+    def add(self, other: Joined) -> None:
+        if not other.size:
+            return  # an empty one has no place
+        self.placeholder = self.placeholder or other.placeholder or bool(PLACEHOLDER.search(self.tail + other.head))
+        self.head, self.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
+        self.size += other.size
+        self.counts.update(other.counts)
+        self.made_of.append(other)
+        if self.different is not None and other.different is not None:
+            self.fresh += sum(len(x) for x in other.different - self.different)
+            self.different |= other.different
+        if other.different is None or self.fresh > LONGEST:
+            self.different = None
+
+    def repeats(self) -> bool:
+        return self.size > LONGEST and self.different is not None
+
+    def places(self, walked: set[Joined]) -> Iterator[tuple[int, int]]:
+        """The places of the literals, but for those of values in `walked`, to which all that are seen here are added."""
+        todo = [self]
+        while todo:
+            at = todo.pop()
+            if at not in walked:
+                walked.add(at)
+                if at.place:
+                    yield at.place
+                todo += at.made_of
+
+
+def strength(literal: str | Joined) -> float:
+    """0 to 1: how much a literal, or a value that is joined of some, looks like a generated key."""
+    v = Joined(literal) if isinstance(literal, str) else literal
+    n, kept = v.size, "".join(v.counts)
+    if n < 8 or v.placeholder or FRAMED.fullmatch(v.head + v.tail) or kept in ("x", "X", "xX", "Xx", "*"):
         return 0.0
-    kinds = sum(bool(re.search(p, literal)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    if kinds == 1 and not literal.isdigit():
+    if re.search(r"\s", kept) or re.match(r"(?:https?|file|ftp)://|\.{0,2}/", v.head):
+        return 0.0
+    kinds = sum(bool(re.search(p, kept)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in v.counts.values())
+    if kinds == 1 and not kept.isdigit():
         return 0.0  # one word of plain letters
-    return min(1.0, n / 16) * min(1.0, entropy / 3.0) * (0.6 + 0.2 * min(2, kinds - 1))
+    return min(n, 16) / 16 * min(1.0, entropy / 3.0) * (0.6 + 0.2 * min(2, kinds - 1))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int, int]]:
@@ -81,32 +132,8 @@ def base_spans(text: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-class Joined:
-    """The value of an assignment: its parts and the places of the literals among them, as long as it may be a secret at all."""
-
-    def __init__(self):
-        self.parts: list[str] = []
-        self.places: list[tuple[int, int]] = []
-        self.size = 0
-
-    def add(self, parts: list[str], places: list[tuple[int, int]], size: int) -> None:
-        """Parts beyond LONGEST characters, with which the value is no secret any more, are only counted; empty ones have no place."""
-        self.size = min(self.size + size, LONGEST + 1)
-        if self.size > LONGEST:
-            self.parts, self.places = [], []
-        elif size:
-            self.parts += parts
-            self.places += places
-
-    def add_literal(self, text: str, place: tuple[int, int]) -> None:
-        self.add([text], [place], len(text))
-
-
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """name, joined value and the places of the literals it is made of, for each assignment of 1 to LONGEST characters.
-
-    What is kept of a value is bounded by LONGEST, however often names are joined with themselves.
-    """
+def pairs(text: str) -> Iterator[tuple[str, Joined]]:
+    """name and joined value, for each assignment of one character or more."""
     known: dict[str, Joined] = {}
     at = 0
     while m := NAME.search(text, at):
@@ -115,12 +142,11 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         while v := VALUE.match(text, here):
             here, found = v.end(), True
             if v["bare"] is not None and v["bare"] in known:
-                of = known[v["bare"]]
-                value.add(of.parts, of.places, of.size)
+                value.add(known[v["bare"]])
                 last = -1
             else:
                 kind = "text" if v["bare"] is None else "bare"
-                value.add_literal(v[kind], v.span(kind))
+                value.add(Joined(v[kind], v.span(kind)))
                 last = v.end(kind)
             joint = JOIN.match(text, here)
             if not joint[0].strip() and not (v["q"] and VALUE.match(text, joint.end()) and text[joint.end()] in "\"'"):
@@ -130,8 +156,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             known[m["name"]] = value
             # The value may itself be the name of a pair, as in `a: b: c`.
             at = max(at, here) if last == here or text[here - 1 : here] in "\"'`" else at
-            if 0 < value.size <= LONGEST:
-                yield m["name"], "".join(value.parts), value.places
+            if value.size:
+                yield m["name"], value
 
 
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, int, int, float, str]]:
@@ -140,10 +166,10 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
     low = text.lower()
     if any(s in low for s in STEMS):
         taken = {(a, b) for _, _, _, a, b, _, _ in found}
-        seen = set()
-        for name, value, places in pairs(text):
-            if (weight := sensitivity(name)) and (score := weight * strength(value)) >= threshold:
-                for a, b in places:
+        seen, walked = set(), set()
+        for name, value in pairs(text):
+            if (weight := sensitivity(name)) and not value.repeats() and (score := weight * strength(value)) >= threshold:
+                for a, b in value.places(walked):
                     if b > a and (a, b) not in taken and (a, b) not in seen and not any(x <= a and b <= y for x, y in taken):
                         seen.add((a, b))
                         found.append(("literal", a, b, a, b, round(score, 4), name))
