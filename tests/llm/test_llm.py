@@ -396,6 +396,21 @@ def test_distinct_documents_decides_by_all_shingles(spark):
     assert 0 < sum(jaccard(*found[i : i + 2]) >= 0.8 for i in range(0, len(found), 2)) < len(found) // 2
 
 
+def test_distinct_documents_come_through_the_gray_index(spark, monkeypatch):
+    plain = simhash.signatures  # here with bands that no two texts share
+    monkeypatch.setattr(simhash, "signatures", lambda df: plain(df).withColumn("keys", F.array(F.xxhash64("_file", "_at"))))
+    random = np.random.default_rng(21)
+    found = []
+    for i in range(20):
+        own = [f"w{i}x{x}" for x in random.integers(0, 5000, 800)]
+        found += [" ".join(own), " ".join([*own[:400], "changed", *own[401:]])]
+    a, b = found[0].split(), found[2].split()
+    found += [" ".join([*a, *b]), " ".join([*b, *a])]
+    near = [bin(plain_fingerprint(x) ^ plain_fingerprint(y)).count("1") <= simhash.MAX_DISTANCE for x, y in zip(found[::2], found[1::2], strict=True)]
+    got = {r["doc_id"] for r in simhash.distinct_documents(docs(spark, [(i, t, "en", "a") for i, t in enumerate(found)])).collect()}
+    assert got == set(range(len(found))) - {2 * i + 1 for i, n in enumerate(near) if n} and sum(near) > 5
+
+
 # 6 URLs
 
 RULES = urls.rules(allow=("example.com/en/7", "net/de/"), block=("com/en/", "example.net/de/8", "org/es/"))

@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dis
     return made.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Settings of distinct_documents: shingles and similarity of what counts as near.
+#: Settings of distinct_documents beside those of the fingerprints: shingles and similarity of what counts as near.
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Candidates share one of BANDS keys of BAND_ROWS least hashes: at similarity 0.8 all but (1 - 0.8^5)^25 = 5e-5 of the pairs do, above it fewer are missed.
 BANDS, BAND_ROWS = 25, 5
@@ -252,20 +252,21 @@ def least_hashes(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """_file, _at, doc_id, set (hash of the set of shingles) and keys (one for each band) for each row of docs (_file, _at, doc_id, text)."""
+    """_file, _at, doc_id, set (hash of the set of shingles), fp (fingerprint) and keys (one for each band) for each row of docs (_file, _at, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, keys = [], []
+            sets, fps, keys = [], [], []
             for text in texts(batch):
                 found = shingle_set(text)
+                fps.append(fingerprint(text))
                 least = least_hashes(found)
                 sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 keys.append(np.array([xxhash.xxh64_intdigest(band.tobytes(), c) for c, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64))
-            made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["_file", "_at", "doc_id", "set", "keys"])
+            made = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sets, fps)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["_file", "_at", "doc_id", "set", "fp", "keys"])
 
-    return map_batches(docs, run, "_file string, _at long, doc_id long, set long, keys array<long>")
+    return map_batches(docs, run, "_file string, _at long, doc_id long, set long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -303,9 +304,16 @@ def rooted(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
+def indexed(sets: DataFrame) -> DataFrame:
+    """sets with a first key more, in place of fp: the least fingerprint that links of the Gray index reach from its own."""
+    found = components(group_links(sets.select("fp").distinct())).withColumnRenamed("node", "fp")
+    key = F.concat(F.array(F.coalesce("root", "fp")), "keys").alias("keys")
+    return sets.join(found, "fp", "left").select("set", "rep", key)
+
+
 def first_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the least set of its key, in the first bands."""
-    members = sets.select("set", F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"))
+    """Each set with the least set of its key, by fingerprints and in the first bands."""
+    members = sets.select("set", F.explode(F.slice("keys", 1, 1 + FIRST_BANDS)).alias("key"))
     lead = members.groupBy("key").agg(F.min("set").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return members.join(lead, "key").filter("set <> b").select(F.col("set").alias("a"), "b").distinct()
 
@@ -383,8 +391,8 @@ def missing_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node and root: the least of the sets that links of similarity SIMILARITY or more reach, for every linked set of sets (set, rep, keys).
 
-    Sets are compared in full with the least one of their key in the first bands, which links most of a large group; then
-    with all sets that share any key and are not linked to them by then.
+    Sets are compared in full with the least one of their key by fingerprints and in the first bands, which links most of a large
+    group; then with all sets that share any key and are not linked to them by then.
     """
     links = similar(first_pairs(sets), docs, sets)
     return components(links.union(missing_links(materialize(rooted(sets, links), "near-roots"), docs)))
@@ -394,7 +402,8 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, any others) without near copies: of each group one stays, with all its columns as they were.
 
     Two documents are near if the sets of their five-word shingles have a Jaccard similarity of SIMILARITY or
-    more, which is decided by all shingles of their whole texts; groups are what such links connect, of any size and number,
+    more, which is decided by all shingles of their whole texts. Who is compared comes from the Gray index of the fingerprints, as
+    in near_duplicates, and, for pairs that are farther apart there, from bands of least hashes. Groups are what such links connect, of any size and number,
     and the smallest doc_id stays, of equal ids the first row. Documents with equal sets are merged first, so
     repeated rows, equal texts and texts without words (null ones too) are copies of each other. Null ids come last in
     a group. An empty table stays empty. Columns may have any names.
@@ -403,7 +412,10 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     plain = rows.select("_file", "_at", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text"))
     made = materialize(signatures(plain), "near-signatures")
     rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_file", "_at")
-    sets = materialize(made.groupBy("set").agg(F.min(rep).alias("rep"), F.min("keys").alias("keys")), "near-sets")
+    plain_sets = materialize(made.groupBy("set").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "near-sets")
+    discard(made)
+    sets = materialize(indexed(plain_sets), "near-indexed")
+    discard(plain_sets)
     linked = near_links(plain.select("_file", "_at", "text"), sets).withColumnRenamed("node", "set")
     kept = sets.join(linked, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("rep").alias("rep")).select("rep._file", "rep._at")
     return rows.join(kept, ["_file", "_at"], "left_semi").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
