@@ -195,6 +195,12 @@ def test_item_similarity_of_products_with_many_users(spark, monkeypatch):
     assert got == {(p, q): len(users[p] & users[q]) for q in range(6) for p in range(q)}
 
 
+def test_content_profiles_of_lines(spark):
+    made = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (2, 1, "x"), (2, 3, "x"), (None, 2, "y")], "customer_id long, product_id long, category string")
+    features = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "product_id long, category string")
+    assert {(r["category"], tuple(r["products"]), r["users"]) for r in product.content_profiles(features, made).collect()} == {("x", (1,), 2), ("y", (2,), 0), (None, (3,), 1)}
+
+
 def test_plans(spark, sf, capsys):
     """No Python in plans, filters and columns at the scan."""
     made = fraud.apply_rules(fraud.velocity(transactions(spark, sf).withColumnsRenamed({"amount": "price"}).withColumn("merchant_id", F.lit(1)), {"1h": "1 hour"}))

@@ -212,7 +212,7 @@ def product_item_similarity(spark, sf):
 @query(f"WITH {INTER}, f AS (SELECT p_partkey AS product_id, p_type AS category FROM part) SELECT category, list_aggregate(list_sort(list(DISTINCT CAST(product_id AS VARCHAR))), 'string_agg', ',') AS products, count(DISTINCT customer_id) AS users FROM x JOIN f USING (product_id) GROUP BY 1")
 def product_content_profiles(spark, sf):
     features = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"))
-    made = product.content_profiles(features, product.interactions(lines(spark, sf)))
+    made = product.content_profiles(features, lines(spark, sf))  # only who bought what counts
     return made.withColumn("products", F.array_join(F.sort_array(F.transform("products", lambda x: x.cast("string"))), ","))
 
 
