@@ -389,3 +389,28 @@ def test_scores_are_refreshed_when_they_are_old(spark, tmp_path):
     assert seen == [1, 1, 1, 2, 2, 3]
     model = detection.Refreshed(lambda: made.append(1) or len(made), "", 10, write=False, clock=lambda: now[0])
     assert model() == model()
+
+
+def test_greatest_products_are_those_of_all_pairs(spark, monkeypatch):
+    """Blocks and tiles that most users leave early; equal scores, fewer items than asked for, and no comparison of all pairs."""
+    import numpy as np
+    from pyspark.ml.recommendation import ALSModel
+
+    monkeypatch.setattr(ALSModel, "recommendForAllUsers", lambda *_: pytest.fail("all users with all products"))
+    for name, n in {"BLOCK_USERS": 40, "BLOCK_ITEMS": 50, "TILE_USERS": 7, "TILE_ITEMS": 16}.items():
+        monkeypatch.setattr(product, name, n)
+    rng = np.random.default_rng(1)
+    u, v = rng.normal(size=(100, 4)).astype(np.float32), (rng.normal(size=(300, 4)) * rng.gamma(1, 1, (300, 1))).astype(np.float32)
+    v[200:210], u[5] = v[:10], 0
+    table = lambda x: spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id int, features array<float>")
+    for items in (v, v[:3]):
+        made = product.greatest_products(table(u), table(items), 5).collect()
+        exact = u.astype(float) @ items.astype(float).T
+        want = {(i, k + 1): (int(j), exact[i, j]) for i in range(len(u)) for k, j in enumerate(np.lexsort((np.arange(len(items)), -exact[i]))[:5])}
+        assert len(made) == len(want)
+        got = {(r["id"], r["rank"]): (r["item"], r["score"]) for r in made}
+        assert {k: i for k, (i, _) in got.items()} == {k: i for k, (i, _) in want.items()}
+        assert [got[k][1] for k in want] == pytest.approx([s for _, s in want.values()])
+    rows = [(c, p, 1 + c * p % 5) for c in range(12) for p in range(c % 4, 20, 3)]
+    ranks = product.recommend(spark.createDataFrame(rows, "customer_id long, product_id long, rating int"), top=4).groupBy("customer_id").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
+    assert len(ranks) == 12 and all(r["r"] == [1, 2, 3, 4] for r in ranks)
