@@ -414,3 +414,17 @@ def test_greatest_products_are_those_of_all_pairs(spark, monkeypatch):
     rows = [(c, p, 1 + c * p % 5) for c in range(12) for p in range(c % 4, 20, 3)]
     ranks = product.recommend(spark.createDataFrame(rows, "customer_id long, product_id long, rating int"), top=4).groupBy("customer_id").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
     assert len(ranks) == 12 and all(r["r"] == [1, 2, 3, 4] for r in ranks)
+
+
+def test_all_patterns_write_the_rows_alone(spark, tmp_path):
+    """What is written before amounts are ranked has no column of another pattern, and limits are searched once a row."""
+    rows = [(i, i % 3, i % 4, float(i % 5 * 100 + 50), at(i), "cash", "x") for i in range(40)]
+    tx = spark.createDataFrame(rows, "transaction_id long, customer_id long, merchant_id long, price double, ts timestamp, payment_method string, location string")
+    seen, real = [], fraud.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fraud, "written", lambda df, label: seen.append(df.columns) or real(df, label))
+        made = fraud.patterns(tx)
+    assert seen == [tx.columns] and made.count() == 40
+    prices = sorted(r["price"] for r in made.collect())
+    assert {r["price"]: round(r["amount_percentile"] * 39) for r in made.collect()} == {p: prices.index(p) for p in prices}
+    assert str(ranking.place(tx.withColumn("_limits", ranking.limits(tx, [F.col("price")], "transaction_id", 64)), F.col("price"), "transaction_id", 0, 64)).count("filter(") <= 2
